@@ -17,40 +17,52 @@ from docloom.llm.shingling import Shingled, mix
 U = np.uint64
 BUCKETS = 16
 MANTISSA = 10
+EMPTY = 0xFFFF
 _MAX = U(0xFFFFFFFFFFFFFFFF)
 
 
 def sketch(s: Shingled, reps: int) -> np.ndarray:
-    """Registers (uint16), shaped (rows, reps, BUCKETS); all of a row without shingles are 0xFFFF."""
+    """Filled registers (uint16), shaped (rows, reps, BUCKETS); those of a row without shingles are EMPTY."""
     n = len(s.offsets) - 1
     out = np.empty((n, reps, BUCKETS), np.uint16)
     base = (s.rows * BUCKETS).astype(np.int64)
     for r in range(reps):
-        h = mix(s.values * U(2 * (r * 0x1F3D5B79 + 0x2545F491) + 1) + U(r + 1))
-        low = np.full(n * BUCKETS, _MAX, np.uint64)
-        np.minimum.at(low, base + (h >> U(60)).astype(np.int64), h & U((1 << 60) - 1))
-        out[:, r, :] = _registers(low.reshape(n, BUCKETS))
+        out[:, r, :] = fill(_raw(s, r, base, n))
     return out
 
 
-def _registers(low: np.ndarray) -> np.ndarray:
-    """Leading zeros above ten mantissa bits of the smallest values of one repetition.
+def raw_sketch(s: Shingled, reps: int) -> np.ndarray:
+    """Registers before filling: the smaller the hash, the smaller the register, so the sketch of a
+    union is the elementwise minimum; EMPTY, the largest value, where a bucket is empty."""
+    n = len(s.offsets) - 1
+    base = (s.rows * BUCKETS).astype(np.int64)
+    return np.stack([_raw(s, r, base, n) for r in range(reps)], axis=1)
+
+
+def _raw(s: Shingled, r: int, base: np.ndarray, n: int) -> np.ndarray:
+    """59 less the leading zeros (that is, the exponent) above ten mantissa bits, of the smallest values.
 
-    The floating-point form of a number holds just these two: its exponent and its mantissa.
+    The floating-point form of a number holds just these two.
     """
-    bits = low.astype(np.float64).view(np.uint64) >> U(52 - MANTISSA)
-    zeros = np.clip(59 + 1023 - (bits >> U(MANTISSA)).astype(np.int64), 0, 59)
-    reg = ((zeros << MANTISSA) | (bits & U((1 << MANTISSA) - 1)).astype(np.int64)).astype(np.uint16)
-    row, col = np.nonzero(low == _MAX)
+    h = mix(s.values * U(2 * (r * 0x1F3D5B79 + 0x2545F491) + 1) + U(r + 1))
+    low = np.full(n * BUCKETS, _MAX, np.uint64)
+    np.minimum.at(low, base + (h >> U(60)).astype(np.int64), h & U((1 << 60) - 1))
+    bits = (low.astype(np.float64).view(np.uint64) >> U(52 - MANTISSA)).astype(np.int64)
+    reg = np.maximum(bits - (1023 << MANTISSA), 0).astype(np.uint16)
+    reg[low == _MAX] = EMPTY
+    return reg.reshape(n, BUCKETS)
+
+
+def fill(reg: np.ndarray) -> np.ndarray:
+    """Lets empty buckets (last axis) borrow the register of the next filled one, marked with the distance."""
+    row, col = np.nonzero(reg == EMPTY)
     if not len(row):
         return reg
-    full = low != _MAX
     out = reg.copy()
-    out[row, col] = 0xFFFF
     for step in range(1, BUCKETS):
-        has = full[row, (col + step) % BUCKETS]
-        r, c = row[has], col[has]
-        out[r, c] = reg[r, (c + step) % BUCKETS] ^ np.uint16(step * 0x0861)
+        src = reg[row, (col + step) % BUCKETS]
+        has = src != EMPTY
+        out[row[has], col[has]] = src[has] ^ np.uint16(step * 0x0861)
         row, col = row[~has], col[~has]
         if not len(row):
             break
@@ -72,9 +84,9 @@ def short(registers: np.ndarray, reps: int) -> np.ndarray:
     """One byte per register of the first ``reps`` repetitions: four bits of the leading-zero
     count, four of the mantissa; what is carried along for the estimate."""
     r = registers[:, :reps, :]
-    lz = np.minimum(r >> MANTISSA, 15).astype(np.uint8)
+    lz = np.clip(59 - (r >> MANTISSA).astype(np.int16), 0, 15).astype(np.uint8)
     out = (lz << 4) | ((r >> (MANTISSA - 4)) & 15).astype(np.uint8)
-    return np.where(r == 0xFFFF, 255, out).astype(np.uint8).reshape(len(r), -1)
+    return np.where(r == EMPTY, 255, out).astype(np.uint8).reshape(len(r), -1)
 
 
 def jaccard(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray, mantissa: int = 4) -> np.ndarray:

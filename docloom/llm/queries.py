@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import near
+from docloom.llm import near, overlap
 from docloom.session import table
 
 
@@ -19,5 +20,15 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "segments"), "segment_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlapping_segments(table(spark, sf_dir, "segments"), table(spark, sf_dir, "ingested_documents"), table(spark, sf_dir, "manifest"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near segments across gold or calib on the one side and train on the other."""
+    pair = _overlaps(spark, sf_dir)
+    return pair.select(F.least("eval_segment", "train_segment").alias("segment_id_a"), F.greatest("eval_segment", "train_segment").alias("segment_id_b")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
