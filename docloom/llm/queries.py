@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import near, overlap
-from docloom.session import table
+from docloom.llm import history, near, overlap
+from docloom.session import materialize, shared_path, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +30,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.select(F.least("eval_segment", "train_segment").alias("segment_id_a"), F.greatest("eval_segment", "train_segment").alias("segment_id_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
+def p4_decided(spark: SparkSession, sf_dir: str, loads: int = 2) -> DataFrame:
+    """Every ingested document with whether it was accepted already, added in ``loads`` steps.
+
+    The batches (distinct ``ingested_at``) are taken in order. The first step is the initial load
+    of the older half of the batches, every further one meets only the stored signatures.
+    """
+    docs, segments = table(spark, sf_dir, "ingested_documents"), table(spark, sf_dir, "segments")
+    first = docs.where("document_id is not null").groupBy("document_id").agg(F.min("ingested_at").alias("first_at"))
+    # One row per batch: bounded by the number of batches, not by their size.
+    batches = [r[0] for r in first.select("first_at").distinct().orderBy("first_at").collect()]
+    cuts = [batches[len(batches) * i // loads] for i in range(1, loads)] if len(batches) >= loads else []
+    store = history.History(spark, shared_path(spark, "history"))
+    out = None
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        when = F.lit(True)
+        if lo is not None:
+            when = when & (F.col("first_at") >= F.lit(lo))
+        if hi is not None:
+            when = when & (F.col("first_at") < F.lit(hi))
+        elif lo is not None:
+            when = when | F.col("first_at").isNull()
+        part = docs.join(first.where(when), "document_id", "left_semi")
+        decided = store.add(part, segments)
+        out = decided if out is None else out.unionByName(decided)
+    return out
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content or text was already accepted."""
+    return p4_decided(spark, sf_dir).where("is_case").select("document_id")
+
+
+QUERIES = {"p4_found": p4_found, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
