@@ -29,16 +29,19 @@ STEP = 2_000_000
 EVAL, TRAIN = 1, 2
 
 
-def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k: int = 3) -> DataFrame:
+def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k: int = 3, texts: DataFrame | None = None) -> DataFrame:
     """``(a, b)``: near texts by their key, ``a`` on the evaluation side and ``b`` on the training side.
 
     ``flags`` is 1 for the evaluation side, 2 for the training side, 3 for both. A text on both
-    sides is a pair with itself. Null or short texts are near to nothing.
+    sides is a pair with itself. Null or short texts are near to nothing. ``texts`` is a table with
+    at least the same texts that is cheaper to read than ``df`` (which may be the result of a join);
+    frequencies are counted over it and the sets of candidates are fetched from it.
     """
     spark = df.sparkSession
     rows = df.where(F.col(text).isNotNull()).select(near.text_key(text).alias("id"), F.col(text).alias("text"), F.col(flags).cast("int").alias("flags"))
-    order = spark.sparkContext.broadcast(frequency.count(df.select(text), k))
-    parts = blocks.parts_for(df.count() * 32, shuffle_partitions(spark))
+    texts = (df if texts is None else texts).where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    order = spark.sparkContext.broadcast(frequency.count(texts, k))
+    parts = blocks.parts_for(texts.count() * 32, shuffle_partitions(spark))
     packed = rows.mapInArrow(_pack_prefixes(parts, k, threshold, order), "part int, block binary")
     met = materialize(packed.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), "a long, b long, n int, pos int, flags int"), "prefix-meetings")
     pairs = met.where("flags = 0").select("a", "b")
@@ -47,7 +50,7 @@ def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k:
     allowed = f"x.token = y.token and least(x.n, y.n) > {threshold}D * greatest(x.n, y.n) and least(x.n - x.pos, y.n - y.pos) > {threshold / (1 + threshold)}D * (x.n + y.n) - 1e-6"
     pairs = pairs.unionByName(x.join(y, F.expr(allowed)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     pairs = materialize(pairs.distinct(), "candidates")
-    nodes = rows.select("id", "text")
+    nodes = texts.select(near.text_key("text").alias("id"), "text")
     return materialize(near._compare(nodes, pairs, k, "set", near._exact(threshold)), "verified")
 
 
@@ -144,7 +147,7 @@ def overlapping_segments(segments: DataFrame, documents: DataFrame, manifest: Da
     """
     sides = materialize(document_sides(documents, manifest), "sides")
     rows = segments.select("segment_id", "document_id", "text").where("segment_id is not null and text is not null").join(sides, "document_id")
-    links = near_across(rows.select("text", "flags"), "text", "flags", threshold, k)
+    links = near_across(rows.select("text", "flags"), "text", "flags", threshold, k, segments.select("text"))
     keyed = segments.where("segment_id is not null and text is not null").select("segment_id", "document_id", near.text_key("text").alias("id"))
     member = keyed.join(sides, "document_id").select("segment_id", "id", "flags").distinct()
     e = member.where("flags % 2 = 1").select(F.col("id").alias("a"), F.col("segment_id").alias("eval_segment"))

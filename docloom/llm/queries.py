@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm import history, near, overlap
+from docloom.functions.text import normal_key
+from docloom.llm import history, mixing, near, overlap, packing, sampling, splits, tokens
 from docloom.session import materialize, shared_path, table
 
+#: Shares of the splits, for every class: of eight templates five gold, one calib, two train.
+PROPORTIONS = {"gold": 5 / 8, "calib": 1 / 8, "train": 2 / 8}
+SAMPLE_RATE = 0.2
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of distinct segments of one group of near texts."""
@@ -62,5 +67,103 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_decided(spark, sf_dir).where("is_case").select("document_id")
 
 
-QUERIES = {"p4_found": p4_found, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest with names in one spelling; repeated rows are the same record."""
+    m = table(spark, sf_dir, "manifest")
+    return m.select("source_path", normal_key("class_key", "_").alias("class"), normal_key("template_id").alias("template"), overlap.split_value("split").alias("split"))
+
+
+def p1_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the manifest with its split, all records of a template (or path) in one."""
+    placed = splits.assign_splits(_manifest(spark, sf_dir), ["template", "source_path"], "class", PROPORTIONS)
+    return placed.select("source_path", "class", "template", "split", "component", "component_class", "assigned_split").distinct()
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of records with template and split whose template has several splits at present."""
+    return splits.conflicting(p1_assigned(spark, sf_dir), "template", "split").select("source_path").where("source_path is not null").distinct()
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per class and assigned split, and their share of the class."""
+    n = p1_assigned(spark, sf_dir).groupBy("component_class", "assigned_split").agg(F.count_distinct("source_path").alias("records"), F.count_distinct("component").alias("components"))
+    w = Window.partitionBy("component_class")
+    return n.withColumn("share", F.round(F.col("records") / F.sum("records").over(w), 6))
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample per split, by the template's name (by the path where there is none)."""
+    rows = _manifest(spark, sf_dir).select("source_path", "template", "split").distinct()
+    key = F.coalesce(F.concat(F.lit("template:"), "template"), F.concat(F.lit("path:"), "source_path"))
+    return sampling.stable_sample(rows, key, SAMPLE_RATE, F.col("split"), salt="p3").select("source_path", "template", "split", "unit")
+
+
+def p3_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per batch and split: records that came with it, and how many of them the sample drew."""
+    rows = _manifest(spark, sf_dir).select("source_path", "template", "split").where("split is not null").distinct()
+    first = table(spark, sf_dir, "ingested_documents").groupBy("source_path").agg(F.min("ingested_at").alias("batch"))
+    drawn = p3_sample(spark, sf_dir).select("source_path", "template", "split", F.lit(1).alias("drawn"))
+    on = [rows[c].eqNullSafe(drawn[c]) for c in ("source_path", "template", "split")]
+    j = rows.join(drawn, on, "left").select(rows["source_path"], rows["split"], "drawn").join(first, "source_path", "left")
+    return j.groupBy("batch", "split").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("drawn"), F.lit(0)).alias("drawn"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokens.with_tokens(docs, "doc_id", "text", keep=("source",))
+
+
+def _placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A fixed table of a few container sizes.
+    capacities = [(r["profile"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_capacities").collect()]
+    sizes = materialize(_sizes(spark, sf_dir).select("doc_id", "tokens"), "sizes")
+    return packing.pack_items(sizes, sorted(capacities))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document (or piece of one longer than the container) lies, for each container size."""
+    return _placements(spark, sf_dir)
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, unused room and spread of cost per container size."""
+    return packing.report(_placements(spark, sf_dir))
+
+
+def _mix_inputs(spark: SparkSession, sf_dir: str):
+    sizes = _sizes(spark, sf_dir).select("doc_id", normal_key("source", "_").alias("source"), "tokens")
+    targets = table(spark, sf_dir, "mix_targets").select("mix_name", normal_key("source", "_").alias("source"), "target_weight", "max_repeats")
+    return sizes, targets
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix and how often each occurs in it."""
+    sizes, targets = _mix_inputs(spark, sf_dir)
+    return mixing.mix(sizes, targets, "doc_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source of every mix."""
+    sizes, targets = _mix_inputs(spark, sf_dir)
+    sizes = materialize(sizes, "sizes")
+    available = sizes.where("source is not null and tokens > 0").groupBy("source").agg(F.sum("tokens").cast("bigint").alias("available"))
+    return mixing.report(mixing.mix(sizes, targets, "doc_id"), available, targets)
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_assigned": p1_assigned,
+    "p1_shares": p1_shares,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p3_sample": p3_sample,
+    "p3_growth": p3_growth,
+    "p4_found": p4_found,
+    "p4_decided": p4_decided,
+    "p5_found": p5_found,
+    "p6_packed": p6_packed,
+    "p6_report": p6_report,
+    "p7_mixed": p7_mixed,
+    "p7_report": p7_report,
+}
 ORACLE: dict[str, str] = {}
