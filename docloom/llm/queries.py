@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normal_key
-from docloom.llm import history, mixing, near, overlap, packing, sampling, splits, tokens
+from docloom.llm import history, mixing, near, overlap, packing, quality, sampling, splits, tokens
 from docloom.session import materialize, shared_path, table
 
 #: Shares of the splits, for every class: of eight templates five gold, one calib, two train.
@@ -150,6 +150,16 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets, "doc_id"), available, targets)
 
 
+def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and structural profile of every document."""
+    return quality.text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which less than half belongs to running sentences."""
+    return p8_quality(spark, sf_dir).where("prose_share < 0.5").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_assigned": p1_assigned,
@@ -165,5 +175,7 @@ QUERIES = {
     "p6_report": p6_report,
     "p7_mixed": p7_mixed,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_quality": p8_quality,
 }
 ORACLE: dict[str, str] = {}
