@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ID_LENGTH = 32
 HYPHENATION = re.compile(r"(\w)-\s*\n\s*(\w)")
@@ -28,13 +29,13 @@ def normalize_python(text: str) -> str:
     return WHITESPACE.sub(" ", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC; null stays null."""
     return s.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(s: pd.Series) -> pd.Series:
     """``normalize_python`` for a column; null stays null."""
     return s.map(lambda t: t if t is None else normalize_python(t))
