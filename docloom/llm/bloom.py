@@ -8,8 +8,9 @@ keys: beyond that only its rate of false hits grows, never the result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.shingling import mix
@@ -34,6 +35,15 @@ class Bloom:
         s, a, b = self.places(keys, self.bits.shape[1] * 8)
         return ((self.bits[s, a >> 3] >> (a & 7)) & (self.bits[s, b >> 3] >> (b & 7)) & 1).astype(bool)
 
+    def column(self, name: str) -> Column:
+        """Whether the bigint column may be among the keys; only that column goes to Python."""
+
+        @F.pandas_udf("boolean")
+        def test(ids: pd.Series) -> pd.Series:
+            return pd.Series(self.contains(ids.to_numpy().view(np.uint64)))
+
+        return test(F.col(name))
+
 
 def build(ids: DataFrame, column: str, count: int) -> Bloom:
     """The filter of the bigint ``column``; ``count`` is how many values it has about."""

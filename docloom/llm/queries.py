@@ -41,23 +41,20 @@ def p4_decided(spark: SparkSession, sf_dir: str, loads: int = 2) -> DataFrame:
     The batches (distinct ``ingested_at``) are taken in order. The first step is the initial load
     of the older half of the batches, every further one meets only the stored signatures.
     """
-    docs, segments = table(spark, sf_dir, "ingested_documents"), table(spark, sf_dir, "segments")
-    first = docs.where("document_id is not null").groupBy("document_id").agg(F.min("ingested_at").alias("first_at"))
+    segments = table(spark, sf_dir, "segments")
+    docs = materialize(history.in_order(table(spark, sf_dir, "ingested_documents")), "in-order")
     # One row per batch: bounded by the number of batches, not by their size.
-    batches = [r[0] for r in first.select("first_at").distinct().orderBy("first_at").collect()]
+    batches = [r[0] for r in docs.select("at").distinct().orderBy("at").collect()]
     cuts = [batches[len(batches) * i // loads] for i in range(1, loads)] if len(batches) >= loads else []
     store = history.History(spark, shared_path(spark, "history"))
     out = None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
-        when = F.lit(True)
+        part = docs
         if lo is not None:
-            when = when & (F.col("first_at") >= F.lit(lo))
+            part = part.where(F.col("at") >= F.lit(lo))
         if hi is not None:
-            when = when & (F.col("first_at") < F.lit(hi))
-        elif lo is not None:
-            when = when | F.col("first_at").isNull()
-        part = docs.join(first.where(when), "document_id", "left_semi")
-        decided = store.add(part, segments)
+            part = part.where(F.col("at") < F.lit(hi))
+        decided = store.add_ordered(part, segments)
         out = decided if out is None else out.unionByName(decided)
     return out
 
