@@ -2,5 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
+
+MODULES = ("text_queries", "archive_queries", "model_queries")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _name in MODULES:
+    if importlib.util.find_spec(f"docloom.plans.{_name}") is None:
+        continue
+    _module = importlib.import_module(f"docloom.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
