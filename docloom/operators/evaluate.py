@@ -60,7 +60,7 @@ def reliability(p: DataFrame, bins: int = BINS) -> DataFrame:
 
 def ece(p: DataFrame, bins: int = BINS) -> DataFrame:
     """Expected calibration error: one row."""
-    return reliability(p, bins).agg(F.sum("n").alias("rows"), F.round(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n"), 6).alias("ece"))
+    return reliability(p, bins).agg(F.sum("n").alias("rows"), F.round(F.try_divide(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))), F.sum("n")), 6).alias("ece"))
 
 
 def brier_nll(p: DataFrame, classes: list) -> DataFrame:
@@ -107,7 +107,7 @@ def coverage_at(p: DataFrame, target: float = 0.98) -> DataFrame:
 def aurc(p: DataFrame) -> DataFrame:
     """Area under the risk-coverage curve: the mean, over rows, of the risk at their confidence: one row."""
     c = curve(p)
-    return c.agg(F.sum("n").alias("rows"), F.round(F.sum(F.col("n") * (1 - F.col("right") / F.col("covered"))) / F.sum("n"), 6).alias("aurc"))
+    return c.agg(F.sum("n").alias("rows"), F.round(F.try_divide(F.sum(F.col("n") * (1 - F.col("right") / F.col("covered"))), F.sum("n")), 6).alias("aurc"))
 
 
 def auroc(p: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def bootstrap_accuracy(p: DataFrame, key: str, draws: int = 2000, level: float =
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(total[0]), pa.array(total[1])], ["draw", "n", "ok"])
 
     sums = p.select(F.col(key).cast("bigint").alias("k"), correct().alias("ok")).mapInArrow(run, "draw bigint, n double, ok double")
-    per = sums.groupBy("draw").agg((F.sum("ok") / F.sum("n")).alias("accuracy"))
+    per = sums.groupBy("draw").agg(F.try_divide(F.sum("ok"), F.sum("n")).alias("accuracy"))
     side = (1 - level) / 2
     return per.agg(F.count(F.lit(1)).alias("draws"), F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.percentile("accuracy", F.lit(side)), 6).alias("low"), F.round(F.percentile("accuracy", F.lit(1 - side)), 6).alias("high"))
 

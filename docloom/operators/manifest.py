@@ -86,7 +86,7 @@ def best_guess(df: DataFrame, feature: list[str], label: str) -> DataFrame:
     """The share the best guesser of ``label`` gets right who sees only ``feature``: one row ``(rows, right, share)``."""
     counts = df.groupBy(*feature, label).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*feature).agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    return best.agg(F.sum("n").alias("rows"), F.sum("best").alias("right")).withColumn("share", F.round(F.col("right") / F.col("rows"), 6))
+    return best.agg(F.sum("n").alias("rows"), F.sum("best").alias("right")).withColumn("share", F.round(F.try_divide("right", "rows"), 6))
 
 
 def stem_tokens(path: Column) -> Column:
