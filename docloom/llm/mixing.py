@@ -55,7 +55,7 @@ def budgets(available: DataFrame, targets: DataFrame, total_tokens: int | None =
         total = F.floor(F.min(F.when(F.col("target_share") > 0, most / F.col("target_share"))).over(mix))
     else:
         total = F.lit(total_tokens)
-    return j.withColumn("budget", F.coalesce(F.least(F.floor(F.col("target_share") * total), most), F.lit(0)).cast("bigint"))
+    return j.withColumn("budget", F.least(F.coalesce(F.floor(F.col("target_share") * total), F.lit(0)), most).cast("bigint"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, key: str, total_tokens: int | None = None, salt: str = "mix") -> DataFrame:

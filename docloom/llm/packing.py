@@ -2,8 +2,9 @@
 
 A text of t tokens costs ``t + quadratic * t**2``: the linear layers see every token, attention
 sees pairs of tokens of one text. Texts are taken in descending size and put into the sequence of
-the lowest cost so far that has room; if none has, a new one is opened. The number opened at first
-is the least that can hold all, so sequences fill up while their costs stay alike. A text larger
+the lowest cost so far that has room; if none has, a new one is opened. Opening at first as many as can hold all at
+least keeps costs most alike; opening none in advance often needs fewer sequences when they hold few
+texts each. Both are tried, and fewer sequences win (equal numbers: the first way). A text larger
 than the capacity fills whole sequences with its first tokens and takes part with the rest; no
 other text is cut.
 
@@ -26,13 +27,22 @@ _SCHEMA = "profile string, capacity_tokens bigint, container string, item bigint
 
 def pack(sizes: np.ndarray, capacity: int, quadratic: float = QUADRATIC) -> np.ndarray:
     """The sequence of each item; ``sizes`` descending, none above the capacity."""
+    least = max(1, int(-(-sizes.sum() // capacity)))
+    wide = _assign(sizes, capacity, quadratic, least)
+    if len(wide) == 0 or wide.max() + 1 <= least:
+        return wide
+    tight = _assign(sizes, capacity, quadratic, 1)
+    return tight if tight.max() < wide.max() else wide
+
+
+def _assign(sizes: np.ndarray, capacity: int, quadratic: float, n: int) -> np.ndarray:
+    """Each item to the lowest-cost sequence with room, ``n`` being open at first."""
     out = np.empty(len(sizes), np.int64)
-    n = max(1, int(-(-sizes.sum() // capacity)))
     room, cost = np.full(2 * n + 8, capacity, np.int64), np.zeros(2 * n + 8)
     for i, t in enumerate(sizes.tolist()):
-        open_cost = np.where(room[:n] >= t, cost[:n], np.inf)
-        at = int(open_cost.argmin())
-        if open_cost[at] == np.inf:
+        fits = np.where(room[:n] >= t, cost[:n], np.inf)
+        at = int(fits.argmin())
+        if fits[at] == np.inf:
             at = n
             n += 1
             if n > len(room):

@@ -64,6 +64,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_decided(spark, sf_dir).where("is_case").select("document_id")
 
 
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation split, template and source: segments that training has too, and the pairs."""
+    pair = _overlaps(spark, sf_dir)
+    where = table(spark, sf_dir, "segments").select("segment_id", "document_id").distinct()
+    docs = table(spark, sf_dir, "ingested_documents").select("document_id", "source_path").distinct()
+    record = _manifest(spark, sf_dir).where("split is not null").select("source_path", "split", "template").distinct()
+    named = pair.join(where, pair.eval_segment == where.segment_id).join(docs, "document_id").join(record.where("split <> 'train'"), "source_path")
+    return named.groupBy("split", "template", F.substring_index("source_path", "/", 1).alias("source")).agg(F.count_distinct("eval_segment").alias("segments"), F.count_distinct("eval_segment", "train_segment").alias("pairs"))
+
+
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest with names in one spelling; repeated rows are the same record."""
     m = table(spark, sf_dir, "manifest")
@@ -168,6 +178,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_decided": p4_decided,
     "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_packed": p6_packed,
     "p6_report": p6_report,
     "p7_mixed": p7_mixed,
