@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import normal_key
 from docloom.llm import history, mixing, near, overlap, packing, quality, sampling, splits, tokens
+from docloom.llm.oracle import ORACLE  # noqa: F401
 from docloom.session import materialize, shared_path, table
 
 #: Shares of the splits, for every class: of eight templates five gold, one calib, two train.
@@ -112,7 +113,7 @@ def p3_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = p3_sample(spark, sf_dir).select("source_path", "template", "split", F.lit(1).alias("drawn"))
     on = [rows[c].eqNullSafe(drawn[c]) for c in ("source_path", "template", "split")]
     j = rows.join(drawn, on, "left").select(rows["source_path"], rows["split"], "drawn").join(first, "source_path", "left")
-    return j.groupBy("batch", "split").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("drawn"), F.lit(0)).alias("drawn"))
+    return j.groupBy(F.unix_micros("batch").alias("batch"), "split").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("drawn"), F.lit(0)).alias("drawn"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,4 +187,3 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_quality": p8_quality,
 }
-ORACLE: dict[str, str] = {}
