@@ -58,7 +58,8 @@ def tf_idf(terms: DataFrame, doc: str, term: str) -> DataFrame:
 def structural(text: Column) -> dict[str, Column]:
     """Figures of a text's structure (null text: null)."""
     size = F.greatest(F.length(text), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
+    bare = lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")
+    lines = F.filter(F.transform(F.split(text, "\n"), bare), lambda x: x != "")
     return {
         "chars": F.length(text).cast("bigint"),
         "lines": F.size(lines).cast("bigint"),
@@ -70,7 +71,7 @@ def structural(text: Column) -> dict[str, Column]:
         "ibans": F.regexp_count(text, F.lit(IBAN)).cast("bigint"),
         "vat_ids": F.regexp_count(text, F.lit(VAT_ID)).cast("bigint"),
         "paragraphs": F.regexp_count(text, F.lit(PARAGRAPH)).cast("bigint"),
-        "short_lines": F.size(F.filter(lines, lambda x: F.length(F.trim(x)) < 20)).cast("bigint"),
+        "short_lines": F.size(F.filter(lines, lambda x: F.length(x) < 20)).cast("bigint"),
         "table_lines": F.size(F.filter(lines, lambda x: x.contains("|") | x.contains("\t"))).cast("bigint"),
     }
 

@@ -77,7 +77,9 @@ def temperature_grid(scored: DataFrame, classes: list, grid: list[float]) -> Dat
     names = F.array(*(F.lit(c) for c in classes))
     at = F.array_position(names, F.col("label")).cast("int")
     rows = scored.select("label", "scores", F.explode(F.array(*(F.lit(float(t)) for t in grid))).alias("t"))
-    nll = -F.log(F.greatest(F.element_at(softmax(F.col("scores"), F.col("t")), at), F.lit(1e-15)))
+    # The logarithm of the softmax itself, which no small temperature drives to zero.
+    top = F.array_max("scores")
+    nll = F.log(F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp((s - top) / F.col("t")))) - (F.element_at("scores", at) - top) / F.col("t")
     return rows.groupBy("t").agg(F.avg(nll).alias("nll"))
 
 

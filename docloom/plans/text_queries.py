@@ -191,9 +191,9 @@ select doc_id, format, case format when 'pdf' then 'application/pdf' when 'image
   len(regexp_extract_all(text, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b')) as ibans,
   len(regexp_extract_all(text, '\bDE[0-9]{9}\b')) as vat_ids,
   len(regexp_extract_all(text, '§ ?[0-9]+')) as paragraphs,
-  len(list_filter(l, lambda x: length(trim(x)) < 20)) as short_lines,
+  len(list_filter(l, lambda x: length(x) < 20)) as short_lines,
   len(list_filter(l, lambda x: contains(x, '|') or contains(x, chr(9)))) as table_lines
-from (select doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) as l from documents)""",
+from (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '') as l from documents)""",
     "char_ngram_tfidf": f"""with {_GRAMS_SQL}, tf as (select doc_id, gram, count(*) as n from grams group by 1, 2), df as (select gram, count(*) as d from tf group by 1), total as (select count(distinct doc_id) as c from tf),
 w as (select doc_id, tf.gram as gram, round((1 + ln(n)) * ln(cast(c as double) / d), 6) as weight from tf join df on tf.gram = df.gram, total)
 select doc_id, rank, gram, weight from (select doc_id, gram, weight, row_number() over (partition by doc_id order by weight desc, gram) as rank from w) where rank <= 10""",
