@@ -71,8 +71,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder for one intermediate table."""
-    return f"{shared_folder(spark).rstrip('/')}/docloom/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder for one intermediate table of this application."""
+    return f"{shared_folder(spark).rstrip('/')}/docloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; results read from them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/docloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
