@@ -8,6 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.running import running
 from docloom.sources import schemas
 
 GOLD_PER_CLASS, CALIB_PER_CLASS = 5, 1
@@ -46,12 +47,13 @@ def rank_splits(templates: DataFrame, frozen: DataFrame, seed: str = "7", gold:
     """
     t = templates.where("class_key is not null and template_id is not null").groupBy("template_id").agg(F.min("class_key").alias("class_key"))
     j = t.join(frozen.groupBy("template_id").agg(F.min("split").alias("frozen")), "template_id", "left")
-    by_class = Window.partitionBy("class_key")
-    free = lambda n, name: F.greatest(F.lit(n) - F.count_if(F.col("frozen") == name).over(by_class), F.lit(0))
-    order = Window.partitionBy("class_key", F.col("frozen").isNull()).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "class_key", "template_id")), "template_id")
-    j = j.withColumns({"free_gold": free(gold, "gold"), "free_calib": free(calib, "calib"), "n": F.row_number().over(order)})
-    split = F.when(F.col("frozen").isNotNull(), F.col("frozen")).when(F.col("n") <= F.col("free_gold"), "gold").when(F.col("n") <= F.col("free_gold") + F.col("free_calib"), "calib").otherwise("train")
-    return j.select("class_key", "template_id", split.alias("split"), F.col("frozen").isNull().alias("is_new"))
+    counts = j.groupBy("class_key").agg(*(F.greatest(F.lit(n) - F.count_if(F.col("frozen") == name), F.lit(0)).alias(f"free_{name}") for name, n in (("gold", gold), ("calib", calib))))
+    # Numbers within a class in the order of the MD5, as a running count over its leading digits.
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "class_key", "template_id")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    j = j.withColumns({"is_new": F.col("frozen").isNull(), "u": u})
+    j = running(j, "u", {"n": F.lit(1)}, ["class_key", "is_new"], descending=False, ties=False, order=["template_id"]).join(counts, "class_key")
+    split = F.when(~F.col("is_new"), F.col("frozen")).when(F.col("n") <= F.col("free_gold"), "gold").when(F.col("n") <= F.col("free_gold") + F.col("free_calib"), "calib").otherwise("train")
+    return j.select("class_key", "template_id", split.alias("split"), "is_new")
 
 
 def drift(templates: DataFrame, frozen: DataFrame) -> DataFrame:

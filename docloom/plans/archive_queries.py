@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import labels, manifest
 from docloom.operators.ingest import needs_ocr
+from docloom.operators.running import previous
 from docloom.session import table
 
 
@@ -232,9 +233,8 @@ def mail_inheritance(spark, sf_dir):
 def page_cuts(spark, sf_dir):
     """Places within documents where the kind or heading of consecutive segments changes."""
     s = _segs(spark, sf_dir).select("document_id", "index", "segment_id", "kind", F.coalesce("heading", F.lit("")).alias("heading"))
-    w = Window.partitionBy("document_id").orderBy("index", "segment_id")
-    s = s.withColumns({"k": F.lag("kind").over(w), "h": F.lag("heading").over(w)}).where("k is not null and (k <> kind or h <> heading)")
-    return s.select("document_id", "index", "segment_id", F.col("k").alias("before_kind"), F.col("kind").alias("after_kind"))
+    s = previous(s, "document_id", "index", ["segment_id"], ["kind", "heading"]).where("previous is not null and (previous.kind <> kind or previous.heading <> heading)")
+    return s.select("document_id", "index", "segment_id", F.col("previous.kind").alias("before_kind"), F.col("kind").alias("after_kind"))
 
 
 def review_drift(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import features, vectors
 from docloom.operators import evaluate, labels, manifest
-from docloom.operators.running import running
+from docloom.operators.running import previous, running
 from docloom.sources.writers import Block, Spec, build_corpus
 
 
@@ -144,3 +144,14 @@ def test_predictions_ties_and_softmax(spark):
     p = evaluate.predictions(df, [1, 2], 0.1).orderBy("label").collect()
     assert p[0].predicted == 1 and p[0].margin == 0 and p[0].entropy == pytest.approx(math.log(2))
     assert p[1].predicted == 2 and sum(p[1].probabilities) == pytest.approx(1)
+
+
+def test_previous_across_blocks(spark):
+    rows = [("a", i, f"s{i}") for i in (0, 1, 1, 7, 8, 40)] + [("b", 3, "s3"), ("b", 9, "t")]
+    df = spark.createDataFrame([(d, i, f"{s}-{n}") for n, (d, i, s) in enumerate(rows)], "d string, i long, s string")
+    got = {r.s: r.previous and r.previous.s for r in previous(df, "d", "i", ["s"], ["s"], block=4).collect()}
+    want = {}
+    for d in "ab":
+        own = sorted((r.i, r.s) for r in df.collect() if r.d == d)
+        want |= {s: own[n - 1][1] if n else None for n, (_, s) in enumerate(own)}
+    assert got == want
