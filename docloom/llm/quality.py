@@ -51,8 +51,9 @@ QUOTE = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
 END_MARKS = ".!?"
 #: A unit that does not end as a sentence needs so many words and different function words.
 OPEN_WORDS, OPEN_FUNCTION_WORDS = 6, 3
-#: From so many function words on, their distribution must be nearer than this to some language.
-LANGUAGE_WORDS, LANGUAGE_DISTANCE = 8, 0.79
+#: From so many function words on, their distribution must be nearer than this to some language,
+#: unless they are different enough (short texts are far from every language by chance).
+LANGUAGE_WORDS, LANGUAGE_DISTANCE, REPEATED = 8, 0.79, 4
 
 
 def _spellings(word: str) -> set[str]:
@@ -204,7 +205,7 @@ def classify(texts: list[str | None]) -> list[tuple]:
             continue
         size = np.array(lengths, float)
         running = (own < PROSE) & np.array(whole)
-        if known >= LANGUAGE_WORDS and distance > LANGUAGE_DISTANCE:
+        if known >= LANGUAGE_WORDS and distance > LANGUAGE_DISTANCE and REPEATED * len(seen) <= known:
             running[:] = False
         prose = float(size[running].sum() / size.sum())
         if prose >= 0.5:
