@@ -20,8 +20,9 @@ def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ingested_documents").groupBy("document_id").agg(F.min("ingested_at").alias("at"))
 
 
-def _segs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "segments").distinct()
+def _segs(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    """Segments without repeated rows; only what is asked for is shuffled, figures of texts instead of texts."""
+    return table(spark, sf_dir, "segments").select("segment_id", *columns).distinct()
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +36,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_type_summary(spark, sf_dir):
     """Documents and scans per media type."""
-    d = _docs(spark, sf_dir).groupBy(F.lower("media_type").alias("media_type"))
+    d = table(spark, sf_dir, "ingested_documents").select("document_id", "ingested_at", F.lower("media_type").alias("media_type"), "needs_ocr").distinct().groupBy("media_type")
     return d.agg(F.count(F.lit(1)).alias("documents"), F.count_if("needs_ocr").alias("scans"))
 
 
 def segment_kind_summary(spark, sf_dir):
     """Segments and mean length per kind."""
-    return _segs(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("segments"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.sum(F.length("text")).alias("chars"))
+    s = _segs(spark, sf_dir, "kind", F.length("text").alias("n"))
+    return s.groupBy("kind").agg(F.count(F.lit(1)).alias("segments"), F.round(F.avg("n"), 4).alias("mean_chars"), F.sum("n").alias("chars"))
 
 
 def run_counters(spark, sf_dir):
@@ -68,14 +70,14 @@ def empty_documents(spark, sf_dir):
 def orphan_segments(spark, sf_dir):
     """Segments whose document does not exist: the referential check, by kind."""
     d = table(spark, sf_dir, "ingested_documents").select("document_id")
-    s = _segs(spark, sf_dir)
+    s = _segs(spark, sf_dir, "document_id", "kind")
     bad = s.join(d, "document_id", "left_anti").groupBy("kind").agg(F.count(F.lit(1)).alias("orphans"))
     return s.select("kind").distinct().join(bad, "kind", "left").select("kind", F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
 def needs_ocr_flag(spark, sf_dir):
     """The scan flag anew: characters per page, a page being a segment index up to the largest."""
-    s = _segs(spark, sf_dir).groupBy("document_id").agg(F.sum(F.length("text")).alias("chars"), (F.max("index") + 1).alias("pages"))
+    s = _segs(spark, sf_dir, "document_id", "index", F.length("text").alias("n")).groupBy("document_id").agg(F.sum("n").alias("chars"), (F.max("index") + 1).alias("pages"))
     d = _docs(spark, sf_dir).select("document_id", F.when(F.lower("media_type") == "application/pdf", "pdf").otherwise("other").alias("format")).distinct()
     j = d.join(s, "document_id", "left").na.fill(0, ["chars", "pages"])
     return j.select("document_id", "format", "chars", "pages", needs_ocr(F.col("format"), F.col("chars"), F.col("pages"), 200).alias("needs_ocr"))
@@ -139,7 +141,7 @@ def template_drift(spark, sf_dir):
 def best_guesser_bound(spark, sf_dir):
     """What format and number of segments give away about the class, and what the folder does."""
     d = _docs(spark, sf_dir).select("document_id", "source_path").distinct()
-    n = _segs(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("segments"))
+    n = _segs(spark, sf_dir, "document_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("segments"))
     m = _manifest(spark, sf_dir).where("class_key is not null").select("source_path", "class_key", "format")
     j = m.join(d, "source_path").join(n, "document_id").withColumn("folder", F.substring_index("source_path", "/", 1))
     a = manifest.best_guess(j, ["format", "segments"], "class_key").withColumn("feature", F.lit("format and segments"))
@@ -163,7 +165,7 @@ def exact_leakage(spark, sf_dir):
     """Digests of equal segment texts that occur in train and in gold or calib, with their counts."""
     side = _manifest(spark, sf_dir).where("split is not null").select("source_path", (F.col("split") == "train").alias("train")).distinct()
     d = _docs(spark, sf_dir).select("document_id", "source_path").distinct().join(side, "source_path")
-    s = _segs(spark, sf_dir).select("segment_id", "document_id", F.md5(F.lower("text")).alias("digest"))
+    s = _segs(spark, sf_dir, "document_id", F.md5(F.lower("text")).alias("digest"))
     g = s.join(d.select("document_id", "train").distinct(), "document_id").groupBy("digest").agg(F.count_distinct(F.when(F.col("train"), F.col("segment_id"))).alias("train"), F.count_distinct(F.when(~F.col("train"), F.col("segment_id"))).alias("evaluation"))
     return g.where("train > 0 and evaluation > 0")
 
@@ -227,12 +229,12 @@ def relapse_rate(spark, sf_dir):
 
 def mail_inheritance(spark, sf_dir):
     """Attachments with subject and sender domain of their mail."""
-    return labels.with_parent_mail(_docs(spark, sf_dir), _segs(spark, sf_dir)).select("document_id", "subject", "sender_domain")
+    return labels.with_parent_mail(_docs(spark, sf_dir), table(spark, sf_dir, "segments")).select("document_id", "subject", "sender_domain")
 
 
 def page_cuts(spark, sf_dir):
     """Places within documents where the kind or heading of consecutive segments changes."""
-    s = _segs(spark, sf_dir).select("document_id", "index", "segment_id", "kind", F.coalesce("heading", F.lit("")).alias("heading"))
+    s = _segs(spark, sf_dir, "document_id", "index", "kind", F.coalesce("heading", F.lit("")).alias("heading"))
     s = previous(s, "document_id", "index", ["segment_id"], ["kind", "heading"]).where("previous is not null and (previous.kind <> kind or previous.heading <> heading)")
     return s.select("document_id", "index", "segment_id", F.col("previous.kind").alias("before_kind"), F.col("kind").alias("after_kind"))
 
