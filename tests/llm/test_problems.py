@@ -450,10 +450,10 @@ JUNK = {
 
 
 def test_quality_profiles(spark):
-    texts = {"prose": PROSE, "upper": PROSE.upper(), "lower": PROSE.lower(), "quoted": "> " + PROSE.replace(". ", ".\n> "), "english": "The delivery was delayed because the contract had not been signed. Please return the form to us before the end of the month.", "wrapped": re.sub(r"(.{30,40}) ", r"\1\n", PROSE), "mixed": PROSE + "\n\nA | 1\nB | 2", **JUNK, "null": None}
+    texts = {"prose": PROSE, "upper": PROSE.upper(), "lower": PROSE.lower(), "quoted": "> " + PROSE.replace(". ", ".\n> "), "english": "The delivery was delayed because the contract had not been signed. Please return the form to us before the end of the month.", "wrapped": re.sub(r"(.{30,40}) ", r"\1\n", PROSE), "mixed": PROSE + "\n\nA | 1\nB | 2", "alike": "Gegenstand ist das offene Zentrum am Standort Rahlau, einschließlich des Kontos. Gegenstand ist das Lager am Standort Moorfeld, einschließlich des Pakets.", **JUNK, "null": None}
     df = spark.createDataFrame([(k, t, 1) for k, t in texts.items()], "k string, text string, words int")
     got = {r.k: r for r in quality.text_quality(df, "k", "text").collect()}
-    assert {k for k, r in got.items() if r.prose_share >= 0.5} == {"prose", "upper", "lower", "quoted", "english", "wrapped", "mixed"}
+    assert {k for k, r in got.items() if r.prose_share >= 0.5} == {"prose", "upper", "lower", "quoted", "english", "wrapped", "mixed", "alike"}
     assert got["english"].language == "en" and got["prose"].language == "de" and got["null"].profile == "empty" and got["symbols"].profile == "junk"
     assert got["prose"].words == len(re.findall(r"[^\W_]+", PROSE)) and got["null"].chars == 0
     assert got["prose"].ended_lines_share == 1.0 and got["table"].symbol_share > 0.05
