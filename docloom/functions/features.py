@@ -106,3 +106,11 @@ def position_weights(n: Column) -> Column:
     raw = F.transform(F.sequence(F.lit(0), n - 1), lambda i: 1 / (1 + i / 4))
     total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
     return F.when(n > 0, F.transform(raw, lambda x: x / total))
+
+
+def require_version(df: DataFrame, version: str, column: str = "feature_version") -> DataFrame:
+    """``df`` if all its rows have the version a model was trained with; else an error that names the others."""
+    other = [r[0] for r in df.where(~F.col(column).eqNullSafe(F.lit(version))).select(column).distinct().limit(10).collect()]
+    if other:
+        raise ValueError(f"features of version {version} are needed, there are also {', '.join(sorted(map(str, other)))}")
+    return df

@@ -99,3 +99,15 @@ def save_splits(splits: dict[str, str], path: str) -> None:
 
 def splits_frame(spark: SparkSession, splits: dict[str, str]) -> DataFrame:
     return schemas.to_frame(spark, sorted(splits.items()), "splits")
+
+
+def register(spark: SparkSession, folder: str) -> None:
+    """The tables of an archive as views for SQL, and the text functions under their names."""
+    from docloom.functions import detect, text
+
+    for name in schemas.TABLES:
+        if name != "classes":
+            read_table(spark, folder, name).createOrReplaceTempView(name)
+    spark.udf.register("normalize_text", text.normalize_text)
+    spark.udf.register("nfkc", text.nfkc)
+    spark.udf.register("archive_kind", detect._archive_kind)

@@ -206,6 +206,9 @@ def test_ingest_increment_and_attachments(spark, archive):
     assert ingest.ingest(spark, str(root), out).documents == 1
     assert tables.read_table(spark, out, "documents").count() == 6
     assert "archive: 6 documents" in ingest.report(spark, out, r)[-1]
+    tables.register(spark, out)
+    got = spark.sql("select media_type, count(*) n from documents where normalize_text(' a  b ') = 'a b' group by media_type").collect()
+    assert sum(r.n for r in got) == 6 and spark.sql("select * from manifest").count() == 0
 
 
 def test_ingest_problems(spark, tmp_path):

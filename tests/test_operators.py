@@ -155,3 +155,12 @@ def test_previous_across_blocks(spark):
         own = sorted((r.i, r.s) for r in df.collect() if r.d == d)
         want |= {s: own[n - 1][1] if n else None for n, (_, s) in enumerate(own)}
     assert got == want
+
+
+def test_feature_version(spark):
+    df = spark.createDataFrame([(1, "v2"), (2, "v2")], "id int, feature_version string")
+    assert features.require_version(df, "v2") is df
+    with pytest.raises(ValueError, match="v2"):
+        features.require_version(df, "v1")
+    with pytest.raises(ValueError, match="None"):
+        features.require_version(df.unionByName(spark.createDataFrame([(3, None)], df.schema)), "v2")
