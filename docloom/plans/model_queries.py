@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors
-from docloom.operators import evaluate
+from docloom.operators import evaluate, learning
 from docloom.operators.running import running
-from docloom.session import table
+from docloom.session import materialize, table
 
 TEMPERATURE = 0.1
 TARGET = 0.9
+#: Precision of the learning curve's coverage, and the labels at which the saving is read.
+CURVE_TARGET = 0.98
+SAVING_AT = 150
 GRID = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]
 
 
@@ -247,56 +250,41 @@ def svd_variance(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.explainedVariance.toArray())], "component bigint, share double")
 
 
-def learning_curve(spark, sf_dir, rounds: int = 20, seeds: int = 5, step: int = 10):
-    """Accuracy of class means as labels grow: chosen by uncertainty and at random, median and quartiles over seeds.
+def learning_curve(spark, sf_dir, rounds: int = 20, seeds: int = 5, step: int = 25, start: int = 5):
+    """Macro-F1, calibration error and coverage as labels grow: chosen by the model so far and at random, median and quartiles over seeds.
 
-    Labels are what people give, so what is learned from is bounded: ``rounds * step`` rows per arm and
-    seed are collected. All models are evaluated together in one pass over the held-out share.
+    See ``operators.learning``. Round 0 is the start set, the same for both arms of a seed.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    e = _emb(spark, sf_dir).withColumn("u", _unit("vec_id"))
-    pool, held = e.where("u >= 0.2"), e.where("u < 0.2")
-    margins = _predictions(spark, sf_dir)[0].select("vec_id", "margin")
-    pool = pool.join(margins, "vec_id")
-    models, names = [], []
-    classes = [r[0] for r in e.select("label").distinct().orderBy("label").limit(vectors.MAX_CLASSES).collect()]
-    for seed in range(seeds):
-        noise = F.md5(F.concat_ws(":", F.lit(f"curve-{seed}"), "vec_id"))
-        jitter = F.col("margin") * (1 + F.conv(F.substring(noise, 1, 8), 16, 10).cast("double") / 2**32)
-        for arm, order in (("random", noise), ("active", jitter)):
-            rows = pool.select("vec_id", "label", "embedding", order.alias("o")).orderBy("o", "vec_id").limit(rounds * step).collect()
-            x, y = np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1), np.array([r["label"] for r in rows])
-            for r in range(1, rounds + 1):
-                k = min(len(rows), r * step)
-                models.append(np.stack([x[:k][y[:k] == c].mean(axis=0) if (y[:k] == c).any() else np.zeros(x.shape[1]) for c in classes]))
-                names.append((arm, r, seed))
-    stack = vectors.unit_rows(np.concatenate(models))
-    truth = np.array(classes)
-
-    def run(batches):
-        right, n = np.zeros(len(names)), 0
-        for b in batches:
-            if b.num_rows:
-                s = vectors.unit_rows(vectors._matrix(b.column(1))) @ stack.T
-                best = truth[s.reshape(b.num_rows, len(names), len(classes)).argmax(axis=2)]
-                right += (best == b.column(0).to_numpy()[:, None]).sum(axis=0)
-                n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(right), pa.array(np.full(len(names), n, float))], ["m", "right", "n"])
-
-    got = held.select("label", "embedding").mapInArrow(run, "m bigint, right double, n double").groupBy("m").agg((F.sum("right") / F.sum("n")).alias("accuracy"))
-    label = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "m bigint, arm string, round bigint, seed bigint")
-    q = lambda x: F.round(F.percentile("accuracy", F.lit(x)), 6)
-    return got.join(label, "m").groupBy("arm", "round").agg(q(0.5).alias("median"), q(0.25).alias("low"), q(0.75).alias("high"))
+    e = _emb(spark, sf_dir).where("vec_id is not null and label is not null and embedding is not null").withColumn("u", _unit("vec_id"))
+    pool, held = materialize(e.where("u >= 0.2").drop("u"), "pool"), materialize(e.where("u < 0.2").drop("u"), "held-out")
+    classes = [r[0] for r in e.select("label").distinct().orderBy("label").limit(vectors.MAX_CLASSES + 1).collect()]
+    if len(classes) > vectors.MAX_CLASSES:
+        raise ValueError("more classes than class means may be sent to the executors for")
+    models = learning.arms(pool, classes, rounds, seeds, step, start, GRID)
+    names = spark.createDataFrame([(i, m["arm"], m["round"], len(m["ids"])) for i, m in enumerate(models)], "m bigint, arm string, round bigint, labels bigint")
+    figures = ("macro_f1", "ece", "coverage")
+    got = learning.evaluated(held, models, classes, CURVE_TARGET) if models else spark.createDataFrame([], "m bigint, macro_f1 double, ece double, coverage double")
+    quartiles = [F.round(F.percentile(c, F.lit(x)), 6).alias(c + end) for c in figures for end, x in (("", 0.5), ("_low", 0.25), ("_high", 0.75))]
+    return got.join(names, "m").groupBy("arm", "round").agg(F.min("labels").alias("labels"), *quartiles)
 
 
 def learning_curve_readings(spark, sf_dir):
-    """Mean distance of the two arms, and the rounds each takes to its last level."""
-    c = learning_curve(spark, sf_dir)
-    p = c.groupBy("round").agg(F.max(F.when(F.col("arm") == "active", F.col("median"))).alias("active"), F.max(F.when(F.col("arm") == "random", F.col("median"))).alias("random"))
-    last = p.agg(F.max_by("random", "round").alias("level")).first()["level"]  # one figure
-    return p.agg(F.round(F.avg(F.col("active") - F.col("random")), 6).alias("area_between"), F.min(F.when(F.col("active") >= last, F.col("round"))).alias("active_rounds"), F.min(F.when(F.col("random") >= last, F.col("round"))).alias("random_rounds"))
+    """By Macro-F1: mean distance of the arms, labels each needs for the level of the active arm at 150 labels, and
+    from how many labels on no round gains more than its interquartile range (null if the last round still does)."""
+    c = materialize(learning_curve(spark, sf_dir), "curve")
+    p = c.groupBy("round").agg(F.min("labels").alias("labels"), *(F.max(F.when(F.col("arm") == a, F.col("macro_f1"))).alias(a) for a in ("active", "random")))
+    # The round of 150 labels, or the last: one row.
+    at = p.orderBy(F.when(F.col("labels") >= SAVING_AT, F.col("labels")).otherwise(F.lit(1 << 40) - F.col("labels")), "round").limit(1).select(F.col("active").alias("level"), F.col("labels").alias("active_labels"))
+    reached = p.join(F.broadcast(at), F.col("random") >= F.col("level")).agg(F.min(p["labels"]).alias("random_labels"))
+    w = Window.partitionBy("arm").orderBy("round")  # one row per round
+    gain = c.withColumn("gain", F.col("macro_f1") - F.lag("macro_f1").over(w)).withColumn("last", F.lead("round").over(w).isNull())
+    open_ = F.col("gain") > F.col("macro_f1_high") - F.col("macro_f1_low")
+    still = gain.groupBy("arm").agg(F.max(F.when(open_ | (F.col("round") == 0), F.col("labels"))).alias("labels"), F.bool_or(open_ & F.col("last")).alias("open"))
+    level = still.select("arm", F.when(~F.coalesce("open", F.lit(False)), F.col("labels")).alias("labels"))
+    saturation = level.agg(*(F.max(F.when(F.col("arm") == a, F.col("labels"))).alias(f"{a}_saturation") for a in ("active", "random")))
+    area = p.agg(F.round(F.avg(F.col("active") - F.col("random")), 6).alias("area_between"))
+    out = area.join(at, how="left").join(reached, how="left").join(saturation, how="left")
+    return out.select("area_between", F.round("level", 6).alias("level"), "active_labels", "random_labels", F.round(F.col("random_labels") / F.col("active_labels"), 6).alias("label_saving"), "active_saturation", "random_saturation")
 
 
 QUERIES = {
