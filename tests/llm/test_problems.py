@@ -315,6 +315,18 @@ def test_history_odd_input(spark):
     assert history.prefix_length(0.5) == 4 and history.prefix_length(0.9) > 4
 
 
+def test_history_of_batches_with_an_archive(spark):
+    """A stored document of several blocks is compared as a whole when only the archive has its segments."""
+    rnd = random.Random(4)
+    parts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(192)]
+    d, s = load(spark, [("long", datetime(2026, 1, 1), None), ("whole", datetime(2026, 1, 2), None)], [("long", f"l-{i}", i, t) for i, t in enumerate(parts)] + [("whole", "w-0", 0, " ".join([*parts, "und noch ein Satz"]))])
+    store, got = history.History(spark, shared_path(spark, "history")), {}
+    for name in ("long", "whole"):
+        own = F.col("document_id") == name
+        got |= {r.document_id: r.is_case for r in store.add(d.where(own), s.where(own), s).collect()}
+    assert got == {"long": False, "whole": True}
+
+
 # Problem 5
 
 
