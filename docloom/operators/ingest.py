@@ -24,7 +24,6 @@ from docloom.session import materialize, ship
 from docloom.sources import mail, office, pdf, raw, schemas, tables
 
 MIN_CHARS_PER_PAGE = 40
-MAX_DEPTH = 32
 _EXTRACTED = "document_id string, error string, page_count int, segments array<struct<index:bigint,kind:string,locator:string,heading:string,text:string>>, attachments array<struct<ordinal:int,file_name:string,content:binary>>"
 
 
@@ -124,7 +123,7 @@ def _ingest(spark: SparkSession, raw_dir: str, parquet_dir: str, least: int) ->
     known = tables.read_table(spark, parquet_dir, "documents").select("document_id")
     level = raw.read_raw(spark, raw_dir).select("source_path", "content", F.lit(None).cast("string").alias("parent_document_id"), F.split("source_path", "/").alias("ord"))
     documents, segments = [], []
-    for _ in range(MAX_DEPTH):
+    while True:  # a level of attachments is smaller than the one that holds it
         out, skipped = process(level, known, now, least)
         result.skipped += skipped
         good = out.where("error is null")

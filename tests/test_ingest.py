@@ -268,3 +268,16 @@ def test_config(spark, tmp_path):
     c.write_text("version: 1\nclasses:\n- {key: A, name: a, description: d, not: n}\n- {key: A, name: b, description: d, not: n}\n")
     with pytest.raises(ValueError, match="A"):
         tables.load_classes(spark, str(c))
+
+
+def test_every_level_of_attachments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "MAX_DEPTH", 2, raising=False)
+    data = writers.write_eml(spec("innen"))
+    for n in range(3):
+        data = writers.write_eml(spec(f"Ebene {n}"), (f"{n}.eml", data))
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "m.eml").write_bytes(data)
+    r = ingest.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert (r.documents, r.attachments, r.failed) == (4, 3, [])
+    paths = {x.source_path for x in tables.read_table(spark, str(tmp_path / "out"), "documents").collect()}
+    assert paths == {"m.eml", "m.eml!2.eml", "m.eml!2.eml!1.eml", "m.eml!2.eml!1.eml!0.eml"}
