@@ -170,7 +170,7 @@ def metrics(p: DataFrame, classes: list) -> dict:
     return {
         "macro_f1": sum(r["f1"] for r in rows) / max(1, len(rows)),
         "ece": ece(p).first()["ece"],
-        "coverage": coverage_at(p, 0.9).first()["coverage"],
+        "coverage": coverage_at(p).first()["coverage"],
         "aurc": aurc(p).first()["aurc"],
         "auroc": auroc(p).first()["auroc"],
         "brier": brier_nll(p, classes).first()["brier"],

@@ -164,3 +164,8 @@ def test_feature_version(spark):
         features.require_version(df, "v1")
     with pytest.raises(ValueError, match="None"):
         features.require_version(df.unionByName(spark.createDataFrame([(3, None)], df.schema)), "v2")
+
+
+def test_gate_and_register_take_coverage_at_98(spark):
+    rows = [(0, 0, 0.99 - i / 1000, [0.9, 0.1]) for i in range(19)] + [(1, 0, 0.9, [0.9, 0.1])]
+    assert evaluate.metrics(_predictions(spark, rows), [0, 1])["coverage"] == pytest.approx(0.95)
