@@ -35,14 +35,14 @@ class Bloom:
         s, a, b = self.places(keys, self.bits.shape[1] * 8)
         return ((self.bits[s, a >> 3] >> (a & 7)) & (self.bits[s, b >> 3] >> (b & 7)) & 1).astype(bool)
 
-    def column(self, name: str) -> Column:
-        """Whether the bigint column may be among the keys; only that column goes to Python."""
+    def column(self, key: Column | str) -> Column:
+        """Whether the bigint ``key`` may be among the keys; only it goes to Python."""
 
         @F.pandas_udf("boolean")
-        def test(ids: pd.Series) -> pd.Series:
+        def found(ids: pd.Series) -> pd.Series:
             return pd.Series(self.contains(ids.to_numpy().view(np.uint64)))
 
-        return test(F.col(name))
+        return found(F.col(key) if isinstance(key, str) else key)
 
 
 def build(ids: DataFrame, column: str, count: int) -> Bloom:
@@ -63,7 +63,7 @@ def build(ids: DataFrame, column: str, count: int) -> Bloom:
 
     # One value of the partitioning column is one slice, so every slice is made in one task
     # and what reaches the driver is one filter, of at most MAX_BITS / 8 bytes.
-    keyed = ids.select(F.col(column).alias("id")).distinct()
+    keyed = ids.select(F.col(column).alias("id"))
     parts = keyed.mapInArrow(fold, "slice int, bits binary")
     out = np.zeros((SLICES, per_slice // 8), np.uint8)
     merged = parts.repartition(min(SLICES, 8), "slice").mapInArrow(_merge, "slice int, bits binary")

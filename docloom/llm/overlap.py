@@ -37,9 +37,16 @@ def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k:
     at least the same texts that is cheaper to read than ``df`` (which may be the result of a join);
     frequencies are counted over it and the sets of candidates are fetched from it.
     """
-    spark = df.sparkSession
     rows = df.where(F.col(text).isNotNull()).select(near.text_key(text).alias("id"), F.col(text).alias("text"), F.col(flags).cast("int").alias("flags"))
     texts = (df if texts is None else texts).where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    pairs = candidates(rows, texts, threshold, k)
+    nodes = texts.select(near.text_key("text").alias("id"), "text")
+    return materialize(near._compare(nodes, pairs, k, "set", near._exact(threshold)), "verified")
+
+
+def candidates(rows: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``(a, b)``: every pair of ``rows (id, text, flags)`` across the sides that may be near; frequencies are those of ``texts (text)``."""
+    spark = rows.sparkSession
     order = spark.sparkContext.broadcast(frequency.count(texts, k))
     parts = blocks.parts_for(texts.count() * 32, shuffle_partitions(spark))
     packed = rows.mapInArrow(_pack_prefixes(parts, k, threshold, order), "part int, block binary")
@@ -49,9 +56,7 @@ def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k:
     x, y = hot.where("flags % 2 = 1").alias("x"), hot.where("flags > 1").alias("y")
     allowed = f"x.token = y.token and least(x.n, y.n) > {threshold}D * greatest(x.n, y.n) and least(x.n - x.pos, y.n - y.pos) > {threshold / (1 + threshold)}D * (x.n + y.n) - 1e-6"
     pairs = pairs.unionByName(x.join(y, F.expr(allowed)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    pairs = materialize(pairs.distinct(), "candidates")
-    nodes = texts.select(near.text_key("text").alias("id"), "text")
-    return materialize(near._compare(nodes, pairs, k, "set", near._exact(threshold)), "verified")
+    return materialize(pairs.distinct(), "candidates")
 
 
 def _pack_prefixes(parts: int, k: int, threshold: float, order):

@@ -36,26 +36,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.select(F.least("eval_segment", "train_segment").alias("segment_id_a"), F.greatest("eval_segment", "train_segment").alias("segment_id_b")).distinct()
 
 
-def p4_decided(spark: SparkSession, sf_dir: str, loads: int = 2) -> DataFrame:
-    """Every ingested document with whether it was accepted already, added in ``loads`` steps.
+def p4_decided(spark: SparkSession, sf_dir: str, loads: int = 8) -> DataFrame:
+    """Every ingested document with whether it was accepted already.
 
-    The batches (distinct ``ingested_at``) are taken in order. The first step is the initial load
-    of the older half of the batches, every further one meets only the stored signatures.
+    The batches (distinct ``ingested_at``) are taken in order, in ``loads`` steps of as many batches; each
+    step meets what the ones before have stored. After the fifth the runs are merged.
     """
-    segments = table(spark, sf_dir, "segments")
-    docs = materialize(history.in_order(table(spark, sf_dir, "ingested_documents")), "in-order")
+    segments, documents = table(spark, sf_dir, "segments"), table(spark, sf_dir, "ingested_documents")
     # One row per batch: bounded by the number of batches, not by their size.
-    batches = [r[0] for r in docs.select("at").distinct().orderBy("at").collect()]
-    cuts = [batches[len(batches) * i // loads] for i in range(1, loads)] if len(batches) >= loads else []
+    batches = [r[0] for r in documents.where("ingested_at is not null").select("ingested_at").distinct().orderBy("ingested_at").collect()]
+    cuts = sorted({batches[len(batches) * i // loads] for i in range(1, loads)}) if batches else []
+    at = F.coalesce("ingested_at", F.expr("timestamp '9999-12-31 00:00:00'"))
     store = history.History(spark, shared_path(spark, "history"))
     out = None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = docs
+        part = documents
         if lo is not None:
-            part = part.where(F.col("at") >= F.lit(lo))
+            part = part.where(at >= F.lit(lo))
         if hi is not None:
-            part = part.where(F.col("at") < F.lit(hi))
-        decided = store.add_ordered(part, segments)
+            part = part.where(at < F.lit(hi))
+        decided = store.add(part, segments)
         out = decided if out is None else out.unionByName(decided)
     return out
 

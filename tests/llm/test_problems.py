@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normal_key
-from docloom.llm import blocks, bloom, components, frequency, history, hyperminhash, mixing, near, overlap, packing, quality, sampling, shingling, splits, tokens
+from docloom.llm import blocks, bloom, components, forest, frequency, history, hyperminhash, mixing, near, overlap, packing, quality, sampling, shingling, splits, tokens
 from docloom.session import materialize, shared_path
 
 HYPHEN, BLANK, WORD = re.compile(r"(\w)-\s*\n\s*(\w)"), re.compile(r"\s+"), re.compile(r"[^\W_]+")
@@ -289,9 +289,9 @@ def load(spark, docs, segments):
     return d, spark.createDataFrame(segments, "document_id string, segment_id string, index long, text string").repartition(6)
 
 
-@pytest.mark.parametrize("star", [history.STAR, 2])
+@pytest.mark.parametrize("star", [forest.STAR, 2])
 def test_history_equals_one_after_the_other(spark, monkeypatch, star):
-    monkeypatch.setattr(history, "STAR", star)
+    monkeypatch.setattr(forest, "STAR", star)
     monkeypatch.setattr(history, "RUNS", 1)  # merges after the second load
     docs, segments = archive()
     want = sequential(docs, segments)
@@ -315,15 +315,15 @@ def test_history_odd_input(spark):
     assert history.prefix_length(0.5) == 4 and history.prefix_length(0.9) > 4
 
 
-def test_history_of_batches_with_an_archive(spark):
-    """A stored document of several blocks is compared as a whole when only the archive has its segments."""
+def test_history_of_batches_with_their_own_segments(spark):
+    """A stored document of several blocks is compared as a whole though only its own batch had its segments."""
     rnd = random.Random(4)
     parts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(192)]
     d, s = load(spark, [("long", datetime(2026, 1, 1), None), ("whole", datetime(2026, 1, 2), None)], [("long", f"l-{i}", i, t) for i, t in enumerate(parts)] + [("whole", "w-0", 0, " ".join([*parts, "und noch ein Satz"]))])
     store, got = history.History(spark, shared_path(spark, "history")), {}
     for name in ("long", "whole"):
         own = F.col("document_id") == name
-        got |= {r.document_id: r.is_case for r in store.add(d.where(own), s.where(own), s).collect()}
+        got |= {r.document_id: r.is_case for r in store.add(d.where(own), s.where(own)).collect()}
     assert got == {"long": False, "whole": True}
 
 
