@@ -1,10 +1,10 @@
 """Document frequencies of shingles in a table of fixed size, counted over all texts.
 
-The table has ``SLOTS`` one-byte counters that stop at 255; a shingle is counted in the slot its
-hash names, once per text. It serves as a global order (rare first): every text uses the same
+The table has ``SLOTS`` one-byte entries; a shingle is counted in the slot its hash names, once per text, and
+the sum is kept as its logarithm, in steps of a quarter of a doubling, so no number of texts fills an entry
+and frequent shingles stay apart from rare ones. It serves as a global order (rare first): every text uses the same
 table, so the order is the same everywhere, and an order is all the exactness of a prefix filter
-needs. Collisions and full counters cost speed only. Its 4 MB are what is broadcast, at any
-size of the corpus.
+needs. Collisions cost speed only. Its 4 MB are what reaches the driver and is broadcast, at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def count(texts: DataFrame, k: int = 3) -> np.ndarray:
     merged = partial.repartition(min(SLICES, 12), "slice").mapInArrow(_sum, "slice int, counts binary")
     out = np.zeros((SLICES, _SIZE), np.uint8)
     for row in merged.collect():
-        out[row["slice"]] = np.frombuffer(_ZSTD.decompress(bytes(row["counts"]), decompressed_size=_SIZE, asbytes=True), np.uint8)
+        out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
     return out.ravel()
 
 
@@ -36,9 +36,18 @@ def slots(values: np.ndarray) -> np.ndarray:
     return (values & U(SLOTS - 1)).astype(np.int64)
 
 
-def _emit(table: dict[int, np.ndarray]):
-    blobs = [_ZSTD.compress(v.tobytes(), asbytes=True) for v in table.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(table), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as the numbers that are kept, 0 to 255; a larger count is never a smaller number."""
+    return np.minimum(255, np.round(4 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters as byte planes, of which only the lowest is seldom zero."""
+    return _ZSTD.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def _rows(slices: list[int], blobs: list[bytes]):
+    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
 
 
 def _count(k: int):
@@ -47,8 +56,9 @@ def _count(k: int):
         for b in batches:
             values = shingling.shingled(b.column(0).to_pylist(), k).values
             total += np.bincount(slots(values), minlength=SLOTS).astype(np.uint32)
-        if total.any():
-            yield _emit(dict(enumerate(np.minimum(total, 255).astype(np.uint8).reshape(SLICES, _SIZE))))
+        for i, own in enumerate(total.reshape(SLICES, _SIZE)):
+            if own.any():
+                yield _rows([i], [_packed(own)])
 
     return run
 
@@ -57,6 +67,7 @@ def _sum(batches):
     got: dict[int, np.ndarray] = {}
     for b in batches:
         for s, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(_ZSTD.decompress(blob, decompressed_size=_SIZE, asbytes=True), np.uint8).astype(np.uint16)
-            got[s] = np.minimum(got[s] + x, 255) if s in got else x
-    yield _emit({s: v.astype(np.uint8) for s, v in got.items()})
+            planes = np.frombuffer(_ZSTD.decompress(blob, decompressed_size=4 * _SIZE, asbytes=True), np.uint8).reshape(4, -1)
+            x = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.uint64)
+            got[s] = got[s] + x if s in got else x
+    yield _rows(list(got), [level(v).tobytes() for v in got.values()])

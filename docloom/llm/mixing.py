@@ -20,7 +20,6 @@ from docloom.llm.unit import unit
 from docloom.session import materialize
 
 SLICE = 20_000
-FILLS = 2
 
 
 def prefix_sums(rows: DataFrame, by: list[str], key: str, slices: int, salt: str = "mix") -> DataFrame:
@@ -64,7 +63,8 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, total_tokens: int | None
     Records without source, without size, or with a null key are in no mix. The last, partial epoch
     takes records that end within what is left of the budget. Where a long record stands across
     the cut it is passed over, and the sequence goes on with the records behind it that fit into
-    the gap, ``FILLS`` times; so a source ends closer to its budget than one long record.
+    the gap, until no record left fits. Every pass takes at least the first record that fits, and the gap is
+    then smaller than the record across the cut, so passes are few.
     """
     rows = sizes.where(F.col("source").isNotNull() & F.col(key).isNotNull() & (F.col("tokens") > 0)).select(key, "source", "tokens")
     rows = materialize(rows, "sizes")
@@ -75,9 +75,11 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, total_tokens: int | None
     plan = plan.select("mix_name", "source", epochs.alias("epochs"), (F.col("budget") - epochs * F.col("available")).alias("gap"))
     by = ["mix_name", "source"]
     taken, open_rows = None, rows.join(plan, "source")
-    for _ in range(1 + FILLS):
+    while True:
         placed = prefix_sums(open_rows.where("tokens <= gap").select(*by, key, "tokens", "gap"), by, key, slices, salt)
         now = materialize(placed.select(*by, key, "tokens", "gap", (F.col("before") + F.col("tokens") <= F.col("gap")).alias("take")), "cut")
+        if taken is not None and not now.limit(1).count():
+            break
         got = now.where("take").select(*by, key, "tokens")
         taken = got if taken is None else taken.unionByName(got)
         used = now.where("take").groupBy(*by).agg(F.sum("tokens").alias("used"))

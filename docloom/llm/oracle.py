@@ -44,6 +44,7 @@ es as (select sh.segment_id as segment_id, s from sh join ev on sh.segment_id =
 c as (select es.segment_id as a, ts.segment_id as b, count(*) as c from es join ts on es.s = ts.s where es.segment_id <> ts.segment_id group by 1, 2)
 select distinct least(a, b) as segment_id_a, greatest(a, b) as segment_id_b from c join n na on na.segment_id = a join n nb on nb.segment_id = b where c > 0.5 * (na.n + nb.n - c)""",
     "p3_sample": f"with {SAMPLE} select source_path, template, split, unit from sample",
-    "p3_growth": f"""with {SAMPLE}, f as (select source_path, min(ingested_at) as batch from ingested_documents group by 1), r as (select distinct source_path, template, split from man where split is not null)
-select epoch_us(batch) as batch, r.split as split, count(*) as records, count(s.unit) as drawn from r left join sample s on r.source_path is not distinct from s.source_path and r.template is not distinct from s.template and r.split = s.split left join f on r.source_path = f.source_path group by 1, 2""",
+    "p3_growth": f"""with {SAMPLE}, f as (select source_path, min(ingested_at) as batch from ingested_documents group by 1), r as (select distinct source_path, template, split from man where split is not null),
+b as (select distinct ingested_at as at from ingested_documents where ingested_at is not null), half as (select at from (select at, row_number() over (order by at) - 1 as i, count(*) over () as n from b) where i = n // 2)
+select epoch_us(batch) as batch, r.split as split, count(*) as records, count(s.unit) as drawn, count(case when batch < (select at from half) then s.unit end) as drawn_early, 0::bigint as lost from r left join sample s on r.source_path is not distinct from s.source_path and r.template is not distinct from s.template and r.split = s.split left join f on r.source_path = f.source_path group by 1, 2""",
 }

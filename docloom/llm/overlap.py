@@ -1,32 +1,18 @@
-"""Same or near-same records across splits: an exact prefix-filter join on rare shingles.
+"""Same or near-same records across splits: an exact prefix-filter join on rare shingles (see ``prefix``).
 
-Two sets of ``n`` and ``m`` shingles with a similarity above ``t`` share more than ``t * max(n,
-m)`` of them, so they share one of the ``n - floor(t * n)`` rarest of the one and of the ``m -
-floor(t * m)`` rarest of the other, whatever the order is as long as it is global. These
-prefixes of the evaluation side are the index, those of the training side probe it. A meeting
-counts as a candidate only if the sizes allow the similarity (``min > t * max``) and the
-positions leave room for enough common shingles. What is left is verified exactly; the join
-finds every pair.
-
-Texts are nodes by their hash (see ``near``), so copies are indexed, probed and verified once
-and multiplied only in the result. A shingle with more than ``HOT`` meetings is not joined in the
-task that holds it: its entries go to a second join, which Spark splits (AQE skew join).
+The prefixes of the evaluation side are the index, those of the training side probe it. Texts are nodes by
+their hash (see ``near``), so copies are indexed, probed and verified once and multiplied only in the result;
+a report multiplies their numbers instead.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import blocks, frequency, near, shingling
-from docloom.session import materialize, shuffle_partitions
-
-U = np.uint64
-HOT = 4_000_000
-STEP = 2_000_000
-EVAL, TRAIN = 1, 2
+from docloom.llm import near, prefix
+from docloom.llm.prefix import EVAL, TRAIN
+from docloom.session import materialize
 
 
 def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k: int = 3, texts: DataFrame | None = None) -> DataFrame:
@@ -39,97 +25,11 @@ def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k:
     """
     rows = df.where(F.col(text).isNotNull()).select(near.text_key(text).alias("id"), F.col(text).alias("text"), F.col(flags).cast("int").alias("flags"))
     texts = (df if texts is None else texts).where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    pairs = candidates(rows, texts, threshold, k)
+    pairs = prefix.candidates(rows, texts, threshold, k)
     nodes = texts.select(near.text_key("text").alias("id"), "text")
     return materialize(near._compare(nodes, pairs, k, "set", near._exact(threshold)), "verified")
 
 
-def candidates(rows: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """``(a, b)``: every pair of ``rows (id, text, flags)`` across the sides that may be near; frequencies are those of ``texts (text)``."""
-    spark = rows.sparkSession
-    order = spark.sparkContext.broadcast(frequency.count(texts, k))
-    parts = blocks.parts_for(texts.count() * 32, shuffle_partitions(spark))
-    packed = rows.mapInArrow(_pack_prefixes(parts, k, threshold, order), "part int, block binary")
-    met = materialize(packed.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), "a long, b long, n int, pos int, flags int"), "prefix-meetings")
-    pairs = met.where("flags = 0").select("a", "b")
-    hot = met.where("flags > 0").select(F.col("a").alias("token"), F.col("b").alias("id"), "n", "pos", "flags")
-    x, y = hot.where("flags % 2 = 1").alias("x"), hot.where("flags > 1").alias("y")
-    allowed = f"x.token = y.token and least(x.n, y.n) > {threshold}D * greatest(x.n, y.n) and least(x.n - x.pos, y.n - y.pos) > {threshold / (1 + threshold)}D * (x.n + y.n) - 1e-6"
-    pairs = pairs.unionByName(x.join(y, F.expr(allowed)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    return materialize(pairs.distinct(), "candidates")
-
-
-def _pack_prefixes(parts: int, k: int, threshold: float, order):
-    def run(batches):
-        for b in batches:
-            both = b.column(0).to_numpy() , b.column(2).to_numpy().astype(np.int64)
-            _, at = np.unique(np.stack([both[0], both[1]]), axis=1, return_index=True)
-            ids, flags = both[0][at].view(np.uint64), both[1][at]
-            s = shingling.shingled(b.column(1).take(pa.array(at)).to_pylist(), k)
-            if not len(s.values):
-                continue
-            token, row, pos, n = prefixes(s, order.value, threshold)
-            out = list(blocks.pack(token << U(16), row, ids, parts, [(n, 4), (pos, 4), (flags[row], 1)]))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "block"])
-
-    return run
-
-
-def prefixes(s: shingling.Shingled, order: np.ndarray, threshold: float):
-    """Tokens, rows, positions and sizes of the rarest ``n - floor(threshold * n)`` shingles of each row."""
-    rows, sizes = s.rows, s.sizes
-    rank = np.lexsort((s.values, order[frequency.slots(s.values)], rows))
-    pos = np.arange(len(rank)) - s.offsets[:-1][rows]
-    n = sizes[rows]
-    keep = pos < n - np.floor(threshold * n + 1e-9).astype(np.int64)
-    return s.values[rank][keep], rows[keep], pos[keep], n[keep]
-
-
-def _meet(threshold: float):
-    def run(batches):
-        blobs = [x for b in batches for x in b.column(1).to_pylist()]
-        if not blobs:
-            return
-        keys, ids, n, pos, flags = blocks.gather(blobs, (4, 4, 1))
-        order = np.argsort(keys, kind="stable")
-        keys, ids, n, pos, flags = keys[order], ids[order].view(np.int64), n[order].astype(np.int64), pos[order].astype(np.int64), flags[order].astype(np.int64)
-        e, t = np.flatnonzero(flags & EVAL), np.flatnonzero(flags & TRAIN)
-        lo, hi = np.searchsorted(keys[t], keys[e], "left"), np.searchsorted(keys[t], keys[e], "right")
-        many = hi - lo
-        # Meetings per token, to find hot ones: entries of the evaluation side times the other's.
-        token, which = np.unique(keys[e], return_inverse=True)
-        meetings = np.bincount(which, many, minlength=len(token))
-        hot = token[meetings > HOT]
-        if len(hot):
-            own = np.isin(keys, hot)
-            yield _rows(keys[own].view(np.int64), ids[own], n[own], pos[own], flags[own])
-            many = np.where(meetings[which] > HOT, 0, many)
-        ends = np.cumsum(many)
-        found = []
-        first = 0
-        while first < len(e):
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, "right")))
-            c = many[first:last]
-            i = np.repeat(e[first:last], c)
-            j = t[np.repeat(lo[first:last], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-            room = np.minimum(n[i] - pos[i], n[j] - pos[j])
-            ok = (np.minimum(n[i], n[j]) > threshold * np.maximum(n[i], n[j])) & (room > threshold / (1 + threshold) * (n[i] + n[j]) - 1e-6)
-            found.append(np.unique(np.stack([ids[i[ok]], ids[j[ok]]]), axis=1))
-            first = last
-        if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            for at in range(0, len(a), 200_000):
-                x, y = a[at : at + 200_000], b[at : at + 200_000]
-                zero = np.zeros(len(x), np.int64)
-                yield _rows(x, y, zero, zero, zero)
-
-    return run
-
-
-def _rows(a, b, n, pos, flags):
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in (n, pos, flags))], ["a", "b", "n", "pos", "flags"])
-
-
 def split_value(split: str):
     """A split without blanks at the ends, in lower case; null is no split."""
     return F.lower(F.trim(F.col(split)))

@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD = 1024
 QUADRATIC = 1 / 4096
-_SCHEMA = "profile string, capacity_tokens bigint, container string, item bigint, start bigint, tokens bigint, cost double"
+_SCHEMA = "profile string, capacity_tokens bigint, container string, item {}, start bigint, tokens bigint, cost double"
 
 
 def pack(sizes: np.ndarray, capacity: int, quadratic: float = QUADRATIC) -> np.ndarray:
@@ -56,27 +57,32 @@ def _assign(sizes: np.ndarray, capacity: int, quadratic: float, n: int) -> np.nd
 def pack_items(sizes: DataFrame, capacities: list[tuple[str, int]], key: str = "doc_id", tokens: str = "tokens", quadratic: float = QUADRATIC) -> DataFrame:
     """Placements ``(profile, capacity_tokens, container, item, start, tokens, cost)``.
 
-    ``sizes`` has one row per item (a repeated key is a further item of its own), ``capacities`` a few named sizes (positive). An item
+    ``sizes`` has one row per item (a repeated key of any type is a further item of its own), ``capacities`` a few named sizes (positive). An item
     with null or no tokens needs no room and gets no row. ``start`` is the first token of the piece,
     0 unless the item was cut. The result depends on the keys and sizes only, not on partitions.
     """
     for name, size in capacities:
         if not size or size < 1:
             raise ValueError(f"capacity of {name}: {size}")
-    items = sizes.where(F.col(key).isNotNull() & (F.col(tokens) > 0)).select(F.col(key).cast("bigint").alias("item"), F.col(tokens).cast("bigint").alias("t"))
+    rows = sizes.where(F.col(key).isNotNull() & (F.col(tokens) > 0)).select(F.col(key).alias("item"), F.col(tokens).cast("bigint").alias("t"))
+    kind = rows.schema["item"].dataType
+    schema = _SCHEMA.format(kind.simpleString())
     if not capacities:
-        return items.sparkSession.createDataFrame([], _SCHEMA)
+        return rows.sparkSession.createDataFrame([], schema)
+    # Repeated keys are counted before they are spread, so a hot key is one row per task and then one per copy.
+    copies = rows.groupBy("item", "t").agg(F.count(F.lit(1)).alias("n"))
+    items = copies.select("item", "t", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     rest = [F.sum(F.col("t") % size).alias(f"c{i}") for i, (_, size) in enumerate(capacities)]
     totals = items.agg(*rest).first()
     spec = [F.struct(F.lit(name).alias("profile"), F.lit(size).cast("bigint").alias("c"), F.lit(max(1, round((totals[i] or 0) / (size * SHARD)))).cast("bigint").alias("shards")) for i, (name, size) in enumerate(capacities)]
-    each = items.select("item", "t", F.explode(F.array(*spec)).alias("s")).select("item", "t", "s.profile", "s.c", "s.shards")
-    whole = each.where("t >= c").select("profile", F.col("c").alias("capacity_tokens"), "item", F.explode(F.sequence(F.lit(0), (F.col("t") / F.col("c")).cast("bigint") - 1)).alias("n"))
-    full = whole.select("profile", "capacity_tokens", F.concat_ws("-", F.lit("w"), F.col("item"), F.col("n")).alias("container"), "item", (F.col("n") * F.col("capacity_tokens")).alias("start"), F.col("capacity_tokens").alias("tokens"), (F.col("capacity_tokens") + F.lit(quadratic) * F.col("capacity_tokens") * F.col("capacity_tokens")).alias("cost"))
-    left = each.where("t % c > 0").select("profile", F.col("c").alias("capacity_tokens"), F.pmod(F.xxhash64("item", F.lit("pack")), F.col("shards")).alias("shard"), "item", (F.col("t") - F.col("t") % F.col("c")).alias("start"), (F.col("t") % F.col("c")).alias("tokens"))
+    each = items.select("item", "t", "copy", F.explode(F.array(*spec)).alias("s")).select("item", "t", "copy", "s.profile", "s.c", "s.shards")
+    whole = each.where("t >= c").select("profile", F.col("c").alias("capacity_tokens"), "item", "t", "copy", F.explode(F.sequence(F.lit(0), (F.col("t") / F.col("c")).cast("bigint") - 1)).alias("n"))
+    full = whole.select("profile", "capacity_tokens", F.concat_ws("-", F.lit("w"), F.col("item").cast("string"), F.col("t"), F.col("copy"), F.col("n")).alias("container"), "item", (F.col("n") * F.col("capacity_tokens")).alias("start"), F.col("capacity_tokens").alias("tokens"), (F.col("capacity_tokens") + F.lit(quadratic) * F.col("capacity_tokens") * F.col("capacity_tokens")).alias("cost"))
+    left = each.where("t % c > 0").select("profile", F.col("c").alias("capacity_tokens"), F.pmod(F.xxhash64("item", "copy", F.lit("pack")), F.col("shards")).alias("shard"), "item", (F.col("t") - F.col("t") % F.col("c")).alias("start"), (F.col("t") % F.col("c")).alias("tokens"))
 
     def one(tab: pa.Table) -> pa.Table:
-        size, item = tab["tokens"].to_numpy(), tab["item"].to_numpy()
-        order = np.lexsort((item, -size))
+        size = tab["tokens"].to_numpy()
+        order = np.asarray(pc.sort_indices(tab, [("tokens", "descending"), ("item", "ascending"), ("start", "ascending")]))
         capacity, shard = tab["capacity_tokens"][0].as_py(), tab["shard"][0].as_py()
         seq = pack(size[order], capacity, quadratic)
         t = size[order]
@@ -85,14 +91,14 @@ def pack_items(sizes: DataFrame, capacities: list[tuple[str, int]], key: str = "
                 "profile": tab["profile"].take(pa.array(order)),
                 "capacity_tokens": tab["capacity_tokens"].take(pa.array(order)),
                 "container": pa.array([f"p-{shard}-{s}" for s in seq.tolist()]),
-                "item": pa.array(item[order]),
+                "item": tab["item"].take(pa.array(order)),
                 "start": tab["start"].take(pa.array(order)),
                 "tokens": pa.array(t),
                 "cost": pa.array(t + quadratic * t.astype(float) ** 2),
             }
         )
 
-    packed = left.groupBy("profile", "shard").applyInArrow(one, _SCHEMA)
+    packed = left.groupBy("profile", "shard").applyInArrow(one, schema)
     return full.unionByName(packed)
 
 

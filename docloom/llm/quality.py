@@ -3,12 +3,16 @@
 A text is cut into *units*: sentences where they end with a mark, else items of a list, lines of a
 table or what stands between blank lines; lines broken within a sentence are joined and quote marks
 at line starts are dropped. Each unit has a distribution of its tokens over six classes (function
-words, other words, fragments, numbers, symbols, sentence marks). It gets the structural profile with the smallest
+words, other words, fragments, numbers and codes, symbols, sentence marks). It gets the structural profile with the smallest
 Jensen-Shannon divergence from it. A unit counts as running sentence if that profile is prose and it
-either ends as a sentence or is long and varied enough to be part of one. A document whose function
-words are far from the profile of every language (such as a table of contents that only knows "für" and "und")
-has none. The document's label is prose if half of its characters, blanks at line ends not counted,
-belong to running sentences; else the profile with most characters.
+either ends as a sentence or is long and varied enough to be part of one. The document's label is prose if half of
+its characters, blanks at line ends not counted, belong to running sentences; else the profile with most characters.
+
+Function words are those of six languages. A document that knows too few of them (``KNOWN``) is in another language or no
+prose at all. It is measured against what prose has in common in any alphabetic language: the distribution of
+its word lengths must be near ``WORD_LENGTHS``, its letters must be near ``LETTERS`` (vowels and consonants, in scripts
+that write both), and its words of at most three letters, together with short ones that come again, stand for the function words. ``language`` is
+null there.
 
 Only words decide, not case, so texts in capitals or small letters are treated alike. The work is one
 pass without a shuffle; memory is that of one Arrow batch.
@@ -43,17 +47,28 @@ PROFILES = {
 }
 NAMES = list(PROFILES)
 PROSE = 2  # so many of the profiles, from the first, are prose
-#: Words; figures with their separators and codes, each one token; runs of symbols.
-TOKEN = re.compile(r"[A-Z]{1,3}-\d+|[^\W\d_]+|\d+(?:[.,:/-]\d+)*|[^\w\s]+|_+")
-SENTENCE_END = re.compile(r"(?<=[.!?;])[\"')\]»“”]*\s+")
-ITEM = re.compile(r"^\s*(?:\d+(?:\.\d+)*[.)]?\s|[-–—*•·▪◦+]\s|\[[ xX]?\]|[A-ZÄÖÜ]{2,5} \d+:)")
+#: In a language whose function words are not known, prose may also look like this.
+FEW_FUNCTION_WORDS = (0.12, 0.74, 0.02, 0.03, 0.01, 0.08)
+#: Share of words with 1, 2, ... 12 and more letters in prose of alphabetic languages, and how near a text must be.
+WORD_LENGTHS = np.array([0.05, 0.14, 0.15, 0.12, 0.11, 0.10, 0.09, 0.08, 0.06, 0.04, 0.03, 0.03])
+LENGTH_DISTANCE = 0.16
+#: Vowels and consonants in prose, how near a text must be, and the vowels of the scripts that write them.
+LETTERS = np.array([0.43, 0.57])
+LETTER_DISTANCE = 0.03
+VOWELS = frozenset("aeiouyıøæœαεηιουωаеёиоуыэюяіїєѣ")
+#: Share of known function words below which a language is not known, and of short words that other prose needs.
+KNOWN, SHORT = 0.3, 0.06
+#: Symbols per word it may have at most, and words a line of a unit that does not end as a sentence needs there.
+SYMBOLS, LINE_WORDS = 0.1, 5
+#: Runs of letters and digits with what joins them, each one token; runs of symbols.
+TOKEN = re.compile(r"[^\W_]+(?:[.,:/-][^\W_]+)*|[^\w\s]+|_+")
+PART = re.compile(r"[^\W_]+")
+SENTENCE_END = re.compile(r"(?<=[.!?;؟।])[\"')\]»“”]*\s+|(?<=[。！？])")
+ITEM = re.compile(r"^\s*(?:\d+(?:\.\d+)*[.)]?\s|[-–—*•·▪◦+]\s|\[[ xX]?\]|[^\W\d_]{1,12} \d+[.:)])")
 QUOTE = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
-END_MARKS = ".!?"
+END_MARKS = ".!?。！？؟।"
 #: A unit that does not end as a sentence needs so many words and different function words.
 OPEN_WORDS, OPEN_FUNCTION_WORDS = 6, 3
-#: From so many function words on, their distribution must be nearer than this to some language,
-#: unless they are different enough (short texts are far from every language by chance).
-LANGUAGE_WORDS, LANGUAGE_DISTANCE, REPEATED = 8, 0.79, 4
 
 
 def _spellings(word: str) -> set[str]:
@@ -79,7 +94,7 @@ def _tables():
 
 
 INDEX, LANGUAGES = _tables()
-_PROFILE = np.array(list(PROFILES.values()))
+_PROFILE = np.array([*PROFILES.values(), FEW_FUNCTION_WORDS])
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -130,83 +145,125 @@ def units(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def _figures(text: str):
-    """Counts of a text, and per unit: token classes, length, whether it may be a sentence."""
-    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
-        text = unicodedata.normalize("NFKC", text)
-    rows, lengths, whole = [], [], []
-    seen: dict[int, int] = {}
-    words = letters = symbols = 0
-    for unit, ended in units(text):
-        row = [0] * 6
-        distinct: dict[int, int] = {}
-        n = 0
-        for t in TOKEN.findall(unit):
-            c = t[0]
-            if c.isalpha():
-                if t[-1].isdigit():
-                    row[3] += 1
-                    words += 2
-                    symbols += 1
-                    letters += len(t) - 1
-                    continue
-                n += 1
-                letters += len(t)
-                f = INDEX.get(t.lower())
-                if f is not None:
-                    row[0] += 1
-                    distinct[f] = distinct.get(f, 0) + 1
-                elif len(t) > 2:
-                    row[1] += 1
+def _tokens(unit: str):
+    """Words, and other tokens with their class: a token with a digit is one number or code, others are words."""
+    words, other = [], []
+    for t in TOKEN.findall(unit):
+        if t[0].isalnum():
+            if any(map(str.isdigit, t)):
+                other.append((t, 3))
+                continue
+            parts = PART.findall(t)
+            words += parts
+            if len(parts) > 1:
+                other += [(c, 5 if c in ".,:" else 4) for c in t if not c.isalnum()]
+        elif len(t) == 1 and t in ".,;:!?。！？؟।":
+            other.append((t, 5))
+        else:
+            other.append((t, 4))
+    return words, other
+
+
+class _Text:
+    """Counts of a text, and per unit: words, other tokens, length, whether it ends as a sentence."""
+
+    def __init__(self, text: str):
+        if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        self.units, self.seen = [], {}
+        self.words = self.letters = self.symbols = self.plain = 0
+        for unit, ended in units(text):
+            words, other = _tokens(unit)
+            row = [0] * 6
+            for t, c in other:
+                row[c] += len(t) if c == 4 else 1
+                if c == 3:
+                    parts = PART.findall(t)
+                    size = sum(map(len, parts))
+                    self.words += len(parts)
+                    self.letters += size
+                    self.symbols += len(t) - size
                 else:
-                    row[2] += 1
-            elif c.isdigit():
-                row[3] += 1
-                marks = sum(not x.isdigit() for x in t)
-                words += marks + 1
-                symbols += marks
-                letters += len(t) - marks
+                    self.symbols += len(t)
+            words = [w.lower() for w in words]
+            known = [INDEX.get(w) for w in words]
+            for f in known:
+                if f is not None:
+                    self.seen[f] = self.seen.get(f, 0) + 1
+            self.plain += len(words)
+            self.letters += sum(map(len, words))
+            self.units.append((words, known, row, len(unit.strip()), ended, unit.strip().count("\n") + 1))
+        self.words += self.plain
+
+    def rows(self) -> tuple[list, list, bool]:
+        """Token classes of each unit, whether it may be a sentence, and whether the language is another one."""
+        other = sum(self.seen.values()) < KNOWN * self.plain and self._like_prose()
+        common: dict[str, int] = {}
+        if other:
+            for words, *_ in self.units:
+                for w in words:
+                    if len(w) <= 5:
+                        common[w] = common.get(w, 0) + 1
+        rows, whole = [], []
+        for words, known, row, _, ended, lines in self.units:
+            if other:
+                function = {w for w in words if len(w) <= 3 or common.get(w, 0) > 2}
+                mine = [w in function for w in words]
+                distinct = len(function)
             else:
-                symbols += len(t)
-                if len(t) == 1 and t in ".,;:!?":
-                    row[5] += 1
-                else:
-                    row[4] += len(t)
-        words += n
-        for f, k in distinct.items():
-            seen[f] = seen.get(f, 0) + k
-        rows.append(row)
-        lengths.append(len(unit.strip()))
-        whole.append(ended and n > 2 or n >= OPEN_WORDS and len(distinct) >= OPEN_FUNCTION_WORDS)
-    return rows, lengths, whole, seen, words, letters, symbols
+                mine = [f is not None for f in known]
+                distinct = len({f for f in known if f is not None})
+            row = list(row)
+            row[0] = sum(mine)
+            row[2] = sum(not m and len(w) <= 2 for m, w in zip(mine, words))
+            row[1] = len(words) - row[0] - row[2]
+            rows.append(row)
+            least = 3 if other else 2
+            full = not other or len(words) >= LINE_WORDS * lines
+            whole.append(ended and len(words) > least or len(words) >= OPEN_WORDS and distinct >= OPEN_FUNCTION_WORDS and full)
+        return rows, whole, other
+
+    def _like_prose(self) -> bool:
+        """Whether word lengths and letters are those of prose in some alphabetic language."""
+        words = [w for u in self.units for w in u[0]]
+        marks = sum(u[2][4] for u in self.units)
+        if not words or sum(len(w) <= 3 for w in words) < SHORT * len(words) or marks > SYMBOLS * len(words):
+            return False
+        lengths = np.bincount(np.minimum([len(w) for w in words], len(WORD_LENGTHS)), minlength=len(WORD_LENGTHS) + 1)[1:] / len(words)
+        if divergence(lengths, WORD_LENGTHS) > LENGTH_DISTANCE:
+            return False
+        letters = [c for w in set(words) for c in unicodedata.normalize("NFD", w) if c.isalpha()]
+        vowels = sum(c in VOWELS for c in letters)
+        # A script without vowels of its own says nothing here.
+        written = any("a" <= c <= "z" or "α" <= c <= "я" for c in letters)
+        return not written or divergence(np.array([vowels, len(letters) - vowels]) / len(letters), LETTERS) <= LETTER_DISTANCE
 
 
 def classify(texts: list[str | None]) -> list[tuple]:
     """The figures of each text, see ``SCHEMA``."""
-    parts = [_figures(t or "") for t in texts]
-    counts = np.array([r for p in parts for r in p[0]], float).reshape(-1, 6)
+    parts = [_Text(t or "") for t in texts]
+    found = [p.rows() for p in parts]
+    counts = np.array([r for rows, _, _ in found for r in rows], float).reshape(-1, 6)
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    nearest = np.stack([divergence(share, q) for q in _PROFILE]).argmin(axis=0) if len(share) else np.empty(0, np.int64)
-    out, at = [], 0
-    for text, (rows, lengths, whole, seen, words, letters, symbols) in zip(texts, parts):
-        own = nearest[at : at + len(rows)]
+    far = np.stack([divergence(share, q) for q in _PROFILE]) if len(share) else np.empty((len(_PROFILE), 0))
+    nearest, out, at = far[:-1].argmin(axis=0) if len(share) else np.empty(0, np.int64), [], 0
+    for text, p, (rows, whole, other) in zip(texts, parts, found):
+        own, few = nearest[at : at + len(rows)], far[:, at : at + len(rows)].argmin(axis=0) == len(NAMES)
         at += len(rows)
         text = text or ""
         lines = [x.rstrip() for x in text.split("\n") if x.strip()]
         closed = sum(x[-1] in END_MARKS for x in lines)
-        known = sum(seen.values())
-        base = (len(text), words, letters / words if words else 0.0, symbols / len(text) if text else 0.0, len(lines), closed / len(lines) if lines else 0.0, known / words if words else 0.0)
+        known = sum(r[0] for r in rows)
+        base = (len(text), p.words, p.letters / p.words if p.words else 0.0, p.symbols / len(text) if text else 0.0, len(lines), closed / len(lines) if lines else 0.0, known / p.words if p.words else 0.0)
         language = distance = None
-        if seen:
-            d = language_divergence(seen)
+        if p.seen and not other:
+            d = language_divergence(p.seen)
             language, distance = list(FUNCTION_WORDS)[int(d.argmin())], float(d.min())
-        if not words:
+        if not p.words:
             out.append((*base, 0.0, language, distance, "junk" if text.strip() else "empty"))
             continue
-        size = np.array(lengths, float)
-        running = (own < PROSE) & np.array(whole)
-        if known >= LANGUAGE_WORDS and distance > LANGUAGE_DISTANCE and REPEATED * len(seen) <= known:
-            running[:] = False
+        size = np.array([u[3] for u in p.units], float)
+        running = ((own < PROSE) | few & other) & np.array(whole)
         prose = float(size[running].sum() / size.sum())
         if prose >= 0.5:
             label = "prose"

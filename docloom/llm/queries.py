@@ -76,44 +76,68 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest with names in one spelling; repeated rows are the same record."""
+    """The manifest with names in one spelling, every record once."""
     m = table(spark, sf_dir, "manifest")
-    return m.select("source_path", normal_key("class_key", "_").alias("class"), normal_key("template_id").alias("template"), overlap.split_value("split").alias("split"))
+    named = m.select("source_path", normal_key("class_key", "_").alias("class"), normal_key("template_id").alias("template"), overlap.split_value("split").alias("split"))
+    return materialize(named.distinct(), "manifest")
 
 
 def p1_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the manifest with its split, all records of a template (or path) in one."""
     placed = splits.assign_splits(_manifest(spark, sf_dir), ["template", "source_path"], "class", PROPORTIONS)
-    return placed.select("source_path", "class", "template", "split", "component", "component_class", "assigned_split").distinct()
+    return placed.select("source_path", "class", "template", "split", "component", "component_class", "assigned_split")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of records with template and split whose template has several splits at present."""
-    return splits.conflicting(p1_assigned(spark, sf_dir), "template", "split").select("source_path").where("source_path is not null").distinct()
+    """Paths of records whose component by template has several splits at present."""
+    named = _manifest(spark, sf_dir).where("template is not null")
+    return splits.conflicting(named, ["template"], "split").select("source_path").where("source_path is not null").distinct()
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records per class and assigned split, and their share of the class."""
-    n = p1_assigned(spark, sf_dir).groupBy("component_class", "assigned_split").agg(F.count_distinct("source_path").alias("records"), F.count_distinct("component").alias("components"))
-    w = Window.partitionBy("component_class")
-    return n.withColumn("share", F.round(F.col("records") / F.sum("records").over(w), 6))
+    """Records per class and split (also splits that got none), their share of the class and what was wanted.
+
+    ``largest_share`` is the share of the class's largest component, which no split can be without.
+    """
+    n = p1_assigned(spark, sf_dir).groupBy("component_class", "assigned_split", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = F.explode(F.array(*(F.struct(F.lit(s).alias("assigned_split"), F.lit(p).alias("target_share")) for s, p in sorted(PROPORTIONS.items()))))
+    classes = n.groupBy("component_class").agg(F.sum("n").alias("total"), F.max("n").alias("largest")).select("*", split.alias("s")).select("component_class", "total", "largest", "s.*")
+    got = n.groupBy(F.col("component_class").alias("k"), F.col("assigned_split").alias("s")).agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("components"))
+    j = classes.join(got, F.col("component_class").eqNullSafe(F.col("k")) & (F.col("assigned_split") == F.col("s")), "left").na.fill(0, ["records", "components"])
+    return j.select("component_class", "assigned_split", "records", "components", F.round(F.col("records") / F.col("total"), 6).alias("share"), "target_share", F.round(F.col("largest") / F.col("total"), 6).alias("largest_share"))
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """The sample of ``rows (source_path, template, split)``, by the template's name (by the path where there is none)."""
+    key = F.coalesce(F.concat(F.lit("template:"), "template"), F.concat(F.lit("path:"), "source_path"))
+    return sampling.stable_sample(rows, key, SAMPLE_RATE, F.col("split"), salt="p3")
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample per split, by the template's name (by the path where there is none)."""
+    """A sample per split, in which records of one template are treated alike."""
     rows = _manifest(spark, sf_dir).select("source_path", "template", "split").distinct()
-    key = F.coalesce(F.concat(F.lit("template:"), "template"), F.concat(F.lit("path:"), "source_path"))
-    return sampling.stable_sample(rows, key, SAMPLE_RATE, F.col("split"), salt="p3").select("source_path", "template", "split", "unit")
+    return _drawn(rows).select("source_path", "template", "split", "unit")
 
 
 def p3_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per batch and split: records that came with it, and how many of them the sample drew."""
+    """Per batch and split: records that came with it, how many the sample draws of all records, how many it drew
+    when only the earlier half of the batches was there, and how many of these it has lost since.
+
+    A record that was never ingested has no batch and counts as late.
+    """
     rows = _manifest(spark, sf_dir).select("source_path", "template", "split").where("split is not null").distinct()
-    first = table(spark, sf_dir, "ingested_documents").groupBy("source_path").agg(F.min("ingested_at").alias("batch"))
-    drawn = p3_sample(spark, sf_dir).select("source_path", "template", "split", F.lit(1).alias("drawn"))
-    on = [rows[c].eqNullSafe(drawn[c]) for c in ("source_path", "template", "split")]
-    j = rows.join(drawn, on, "left").select(rows["source_path"], rows["split"], "drawn").join(first, "source_path", "left")
-    return j.groupBy(F.unix_micros("batch").alias("batch"), "split").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("drawn"), F.lit(0)).alias("drawn"))
+    docs = table(spark, sf_dir, "ingested_documents")
+    first = docs.groupBy("source_path").agg(F.min("ingested_at").alias("batch"))
+    rows = materialize(rows.join(first, "source_path", "left"), "arrivals")
+    # One row per batch.
+    batches = [r[0] for r in docs.select("ingested_at").where("ingested_at is not null").distinct().orderBy("ingested_at").collect()]
+    half = batches[len(batches) // 2] if batches else None
+    late = _drawn(rows).withColumn("late", F.lit(1))
+    early = _drawn(rows.where(F.col("batch") < F.lit(half))).withColumn("early", F.lit(1))
+    tags = rows.unionByName(late, True).unionByName(early, True)
+    out = tags.groupBy("source_path", "template", "split").agg(F.max("batch").alias("batch"), F.max("late").alias("late"), F.max("early").alias("early"))
+    counts = (F.count(F.lit(1)).alias("records"), F.count("late").alias("drawn"), F.count("early").alias("drawn_early"), F.count_if(F.col("early").isNotNull() & F.col("late").isNull()).alias("lost"))
+    return out.groupBy(F.unix_micros("batch").alias("batch"), "split").agg(*counts)
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
