@@ -8,8 +8,6 @@ every segment is rebuilt from its remaining sentences.
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +44,3 @@ def strip_boilerplate(df: DataFrame, document: str, text: str, min_share: float
     cleaned = strip_whitespace(F.array_join(F.filter(sents, lambda x: ~F.array_contains(F.col("__layout"), x)), ". "))
     joined = df.join(per_doc, F.col(document) == F.col("__d"), "left")
     return joined.withColumn(text, F.when(F.col("__layout").isNull(), F.col(text)).otherwise(cleaned)).drop("__d", "__layout")
-
-
-def strip_boilerplate_python(texts: list[str], min_share: float = MIN_SHARE) -> list[str]:
-    """The same rule for the segments of one document that are at hand already (in an extractor)."""
-    if len(texts) < MIN_SEGMENTS:
-        return list(texts)
-    split = [[s for s in map(str.strip, t.split(". ")) if s] for t in texts]
-    seen = Counter(s for parts in split for s in set(parts) if len(s) >= MIN_SENTENCE)
-    layout = {s for s, n in seen.items() if n >= min_share * len(texts)}
-    if not layout:
-        return list(texts)
-    return [". ".join(s for s in parts if s not in layout).strip() for parts in split]

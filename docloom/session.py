@@ -57,13 +57,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only if unset.
 
     Clusters set ``spark.checkpoint.dir``. Without it (tests, ``local[*]``) driver and
-    executors are one process and a temporary folder is shared by definition.
+    executors are one process and a temporary folder is shared by definition; on a cluster
+    that would be a folder of the driver's machine only, so it is refused.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         where = sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="docloom-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -89,5 +92,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def setting(spark: SparkSession, name: str, default):
+    """A threshold: the session's ``docloom.NAME``, else the environment's ``DOCLOOM_NAME``, else the default."""
+    return spark.conf.get(f"docloom.{name}", None) or os.environ.get("DOCLOOM_" + name.upper().replace(".", "_")) or default
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,11 +5,12 @@ from email.message import EmailMessage
 
 import pytest
 
-from docloom.functions.boilerplate import strip_boilerplate, strip_boilerplate_python
+from docloom.functions.boilerplate import strip_boilerplate
 from docloom.functions.detect import MEDIA_TYPES, detect_format
 from docloom.functions.text import derive_id, normalize_native, normalize_python, normalize_text
 from docloom.operators import ingest
-from docloom.sources import mail, office, pdf, raw, tables, writers
+from docloom.session import setting
+from docloom.sources import mail, office, pdf, raw, tables, web, writers
 from docloom.sources.writers import Block, Spec
 
 
@@ -86,26 +87,39 @@ def test_detect_format(spark):
 FOOT = "Seite erzeugt von der Buchhaltung"
 
 
-def test_boilerplate_rules():
-    five = [f"Inhalt Nummer {i} ist anders. {FOOT}. Ende {i}" for i in range(5)]
-    assert all(FOOT not in t and f"Nummer {i}" in t for i, t in enumerate(strip_boilerplate_python(five)))
-    two = [f"Inhalt {i}" + (f". {FOOT}. x" if i < 2 else "") for i in range(5)]
-    assert strip_boilerplate_python(two) == two
-    three = [f"Inhalt {i}" + (f". {FOOT}. x" if i < 3 else "") for i in range(5)]
-    assert strip_boilerplate_python(three)[0] == "Inhalt 0. x"
-    short = [f"Inhalt {i}. Danke. x" for i in range(5)]
-    assert strip_boilerplate_python(short) == short
-    assert strip_boilerplate_python([]) == [] and strip_boilerplate_python([FOOT] * 2) == [FOOT] * 2
-    assert strip_boilerplate_python([FOOT] * 3) == ["", "", ""]
+def layout_free(texts, share=0.6):
+    """The rule by its letter: every sentence is looked for on every segment."""
+    split = [[s.strip() for s in t.split(". ") if s.strip()] for t in texts]
+    known = {s for own in split for s in own if len(s) >= 12 and len(texts) >= 3 and sum(s in other for other in split) >= share * len(texts)}
+    return texts if not known else [". ".join(s for s in own if s not in known).strip() for own in split]
 
 
-def test_boilerplate_native_equals_python(spark):
+def cleaned(spark, docs):
+    df = spark.createDataFrame([(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)], "document_id string, i int, t string")
+    got = {(r.document_id, r.i): r.t for r in strip_boilerplate(df, "document_id", "t").collect()}
+    return {d: [got[d, i] for i in range(len(ts))] for d, ts in docs.items()}
+
+
+def test_boilerplate_rules(spark):
+    docs = {
+        "five": [f"Inhalt Nummer {i} ist anders. {FOOT}. Ende {i}" for i in range(5)],
+        "two": [f"Inhalt {i}" + (f". {FOOT}. x" if i < 2 else "") for i in range(5)],
+        "three": [f"Inhalt {i}" + (f". {FOOT}. x" if i < 3 else "") for i in range(5)],
+        "short": [f"Inhalt {i}. Danke. x" for i in range(5)],
+        "few": [FOOT] * 2,
+        "all": [FOOT] * 3,
+    }
+    got = cleaned(spark, docs)
+    assert all(FOOT not in t and f"Nummer {i}" in t for i, t in enumerate(got["five"]))
+    assert got["two"] == docs["two"] and got["short"] == docs["short"] and got["few"] == docs["few"]
+    assert got["three"][0] == "Inhalt 0. x" and got["all"] == ["", "", ""]
+
+
+def test_boilerplate_equals_the_letter_of_the_rule(spark):
     rnd = random.Random(3)
     pool = [f"Dies ist der wiederkehrende Satz {i}" for i in range(6)] + ["kurz", "\xa0auch mit Rand\xa0 "]
     docs = {f"d{d}": [". ".join(rnd.choices(pool, k=rnd.randint(0, 5))) + rnd.choice(["", ".", ". "]) for _ in range(rnd.randint(1, 8))] for d in range(60)}
-    df = spark.createDataFrame([(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)], "document_id string, i int, t string")
-    got = {(r.document_id, r.i): r.t for r in strip_boilerplate(df, "document_id", "t").collect()}
-    assert got == {(d, i): t for d, ts in docs.items() for i, t in enumerate(strip_boilerplate_python(ts))}
+    assert cleaned(spark, docs) == {d: layout_free(ts) for d, ts in docs.items()}
 
 
 # Extractors
@@ -126,6 +140,25 @@ def test_docx_sections_and_tables():
     assert office.read_docx(writers.docx_bytes("")) == []
 
 
+def test_docx_merged_cells():
+    """A cell over two rows or columns is there in each of them."""
+    cell = lambda text, more="": f"<w:tc><w:tcPr>{more}</w:tcPr>{writers.docx_paragraph(text)}</w:tc>"
+    rows = [cell("A", '<w:vMerge w:val="restart"/>') + cell("1"), cell("", "<w:vMerge/>") + cell("2"), cell("B", '<w:gridSpan w:val="2"/>')]
+    body = "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>"
+    assert office.read_docx(writers.docx_bytes(body)) == [("abschnitt", "Tabelle 1", None, "A | 1 A | 2 B | B")]
+
+
+def test_html_and_csv():
+    page = b"<html><title>t</title><body><p>Vor <b>spann</b><h1>Titel &amp; mehr</h1><p>eins<br>zwei<table><tr><th>Pos<td>Menge<tr><td>Teil<td><table><tr><td>innen</table></table><p>nach<script>x</script></html>"
+    assert web.read_html(page) == [
+        ("abschnitt", "Abschnitt 1", None, "Vor spann"),
+        ("abschnitt", "Tabelle 1", "Titel & mehr", "Pos | Menge Teil | innen"),
+        ("abschnitt", "Titel & mehr", "Titel & mehr", "eins zwei nach"),
+    ]
+    assert web.read_html(b"") == [] and web.read_csv(b"") == []
+    assert web.read_csv("Name;Wert\n\"a;b\";1\nä;2\n".encode("cp1252")) == [("blatt", "Blatt 1", None, "Name | Wert | Name: a;b, Wert: 1 | Name: ä, Wert: 2")]
+
+
 def test_xlsx_header_formula_and_dimension():
     rows = [["Leistung", "Menge"], ["Abnahme", "1", "10", "10"]]
     assert office.read_xlsx(writers.xlsx_bytes([("B", rows)], '<dimension ref="A1"/>'))[0][3] == "Leistung | Menge | Leistung: Abnahme, Menge: 1, : 10, : 10"
@@ -163,6 +196,26 @@ def test_pdf():
             pdf.read_pdf(broken)
 
 
+def form_pdf(depth, font=True):
+    """A page that draws a form that draws a form, ``depth`` times; the last one has the text."""
+    use = "/Font<</F1 3 0 R>>" if font else ""
+    objects = ["<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Count 1/Kids[4 0 R]>>", "<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>", f"<</Type/Page/Parent 2 0 R/Resources<</XObject<</X 6 0 R>>{use}>>/Contents 5 0 R>>", "<</Length 5>>\nstream\n/X Do\nendstream"]
+    for i in range(depth):
+        n = len(objects) + 1
+        last = i == depth - 1
+        text = "BT /F1 10 Tf (ganz unten) Tj ET" if last else "/X Do"
+        objects.append(f"<</Subtype/Form/Length {len(text)}/Resources<</XObject<</X {n + 1} 0 R>>{use}>>>>\nstream\n{text}\nendstream")
+    return "%PDF-1.4\n" + "".join(f"{i} 0 obj\n{o}\nendobj\n" for i, o in enumerate(objects, 1))
+
+
+def test_pdf_loses_no_text_silently():
+    assert pdf.read_pdf(form_pdf(30).encode())[0][0][3] == "ganz unten"
+    with pytest.raises(pdf.PdfError, match="font"):
+        pdf.read_pdf(form_pdf(1, font=False).encode())
+    with pytest.raises(pdf.PdfError, match="draws itself"):
+        pdf.read_pdf(form_pdf(2).replace("/X 7 0 R", "/X 6 0 R").encode())
+
+
 def test_writers_are_reproducible_and_complete():
     s = Spec("Titel", spec().blocks, groups=(1, 1))
     for make in (writers.write_pdf, writers.write_docx, writers.write_xlsx, writers.write_eml):
@@ -232,7 +285,7 @@ def test_ingest_problems(spark, tmp_path):
     outer["From"], outer["To"] = "a@x.example", "b@x.example"
     outer.add_attachment(m.as_bytes(), maintype="application", subtype="octet-stream", filename="innen.eml")
     (root / "z.eml").write_bytes(outer.as_bytes())
-    assert [p for p, _ in raw.list_files(str(root))] == [".versteckt/a.pdf", "_unten.docx", "kaputt.dat", "leer.pdf", "m.eml", "scan.pdf", "z.eml"]
+    assert sorted(r.source_path for r in raw.list_files(spark, str(root)).collect()) == [".versteckt/a.pdf", "_unten.docx", "kaputt.dat", "leer.pdf", "m.eml", "scan.pdf", "z.eml"]
     r = ingest.ingest(spark, str(root), out)
     assert sorted(r.failed) == ["kaputt.dat", "leer.pdf", "m.eml!kaputt.bin", "z.eml!innen.eml!kaputt.bin"]
     assert r.empty == [".versteckt/a.pdf", "_unten.docx"]
@@ -270,8 +323,34 @@ def test_config(spark, tmp_path):
         tables.load_classes(spark, str(c))
 
 
-def test_every_level_of_attachments(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ingest, "MAX_DEPTH", 2, raising=False)
+def test_segments_of_a_run_that_died_are_not_written_twice(spark, archive, monkeypatch):
+    root, out = archive
+    real = tables.append_table
+
+    def dies(df, folder, name):
+        if name == "documents":
+            raise OSError("lost")
+        real(df, folder, name)
+
+    monkeypatch.setattr(tables, "append_table", dies)
+    with pytest.raises(OSError):
+        ingest.ingest(spark, str(root), out)
+    monkeypatch.setattr(tables, "append_table", real)
+    r = ingest.ingest(spark, str(root), out)
+    segs = tables.read_table(spark, out, "segments")
+    assert r.documents == 5 and segs.count() == segs.select("segment_id").distinct().count() == r.segments
+
+
+def test_threshold_from_session_and_environment(spark, monkeypatch):
+    assert setting(spark, "min.chars.per.page", 40) == 40
+    monkeypatch.setenv("DOCLOOM_MIN_CHARS_PER_PAGE", "50")
+    assert setting(spark, "min.chars.per.page", 40) == "50"
+    spark.conf.set("docloom.min.chars.per.page", "60")
+    assert setting(spark, "min.chars.per.page", 40) == "60"
+    spark.conf.unset("docloom.min.chars.per.page")
+
+
+def test_every_level_of_attachments(spark, tmp_path):
     data = writers.write_eml(spec("innen"))
     for n in range(3):
         data = writers.write_eml(spec(f"Ebene {n}"), (f"{n}.eml", data))
