@@ -44,17 +44,31 @@ def document_sides(documents: DataFrame, manifest: DataFrame, evaluation=("gold"
     return at.join(given, "source_path").groupBy("document_id").agg(F.bit_or("side").alias("flags"))
 
 
+def members(segments: DataFrame) -> DataFrame:
+    """``(segment_id, document_id, id)``: distinct segments with the key of their text."""
+    return segments.where("segment_id is not null and text is not null").select("segment_id", "document_id", near.text_key("text").alias("id")).distinct()
+
+
+def _sides(documents: DataFrame, manifest: DataFrame) -> DataFrame:
+    return materialize(document_sides(documents, manifest), "sides")
+
+
+def overlapping_texts(segments: DataFrame, documents: DataFrame, manifest: DataFrame, threshold: float = 0.5, k: int = 3, sides: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: near texts by their key, ``a`` of the evaluation and ``b`` of the training side; a text on both sides with itself too."""
+    sides = _sides(documents, manifest) if sides is None else sides
+    rows = segments.select("segment_id", "document_id", "text").where("segment_id is not null and text is not null").join(sides, "document_id")
+    return near_across(rows.select("text", "flags"), "text", "flags", threshold, k, segments.select("text"))
+
+
 def overlapping_segments(segments: DataFrame, documents: DataFrame, manifest: DataFrame, threshold: float = 0.5, k: int = 3) -> DataFrame:
     """``(eval_segment, train_segment)``: all near pairs of distinct segments across the sides.
 
     Segments without id or text, and documents without a record or a split value, take no part;
     repeated rows count once; a document on both sides counts on both.
     """
-    sides = materialize(document_sides(documents, manifest), "sides")
-    rows = segments.select("segment_id", "document_id", "text").where("segment_id is not null and text is not null").join(sides, "document_id")
-    links = near_across(rows.select("text", "flags"), "text", "flags", threshold, k, segments.select("text"))
-    keyed = segments.where("segment_id is not null and text is not null").select("segment_id", "document_id", near.text_key("text").alias("id"))
-    member = keyed.join(sides, "document_id").select("segment_id", "id", "flags").distinct()
+    sides = _sides(documents, manifest)
+    links = overlapping_texts(segments, documents, manifest, threshold, k, sides)
+    member = members(segments).join(sides, "document_id").select("segment_id", "id", "flags").distinct()
     e = member.where("flags % 2 = 1").select(F.col("id").alias("a"), F.col("segment_id").alias("eval_segment"))
     t = member.where("flags > 1").select(F.col("id").alias("b"), F.col("segment_id").alias("train_segment"))
     return links.join(e, "a").join(t, "b").where("eval_segment <> train_segment").select("eval_segment", "train_segment").distinct()

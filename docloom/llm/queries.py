@@ -66,13 +66,31 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation split, template and source: segments that training has too, and the pairs."""
-    pair = _overlaps(spark, sf_dir)
-    where = table(spark, sf_dir, "segments").select("segment_id", "document_id").distinct()
-    docs = table(spark, sf_dir, "ingested_documents").select("document_id", "source_path").distinct()
-    record = _manifest(spark, sf_dir).where("split is not null").select("source_path", "split", "template").distinct()
-    named = pair.join(where, pair.eval_segment == where.segment_id).join(docs, "document_id").join(record.where("split <> 'train'"), "source_path")
-    return named.groupBy("split", "template", F.substring_index("source_path", "/", 1).alias("source")).agg(F.count_distinct("eval_segment").alias("segments"), F.count_distinct("eval_segment", "train_segment").alias("pairs"))
+    """Per evaluation split, template and source, and per source of the training side: segments that training has too, and the pairs.
+
+    Copies are counted, not paired: a link between two texts stands for the segments that have the one times those that have the other.
+    """
+    segments, docs = table(spark, sf_dir, "segments"), table(spark, sf_dir, "ingested_documents")
+    links = overlap.overlapping_texts(segments, docs, table(spark, sf_dir, "manifest"))
+    record = _manifest(spark, sf_dir).where("split in ('gold', 'calib', 'train')").select("source_path", "split", "template", F.substring_index("source_path", "/", 1).alias("source")).distinct()
+    where = docs.select("document_id", "source_path").distinct().join(record, "source_path").select("document_id", "split", "template", "source").distinct()
+    member = overlap.members(segments).join(where, "document_id").select("segment_id", "id", "split", "template", "source").distinct()
+    member = materialize(member, "members")
+    sides = ["split", "template", "source"]
+    e = member.where("split <> 'train'").groupBy(F.col("id").alias("a"), *sides).agg(F.count(F.lit(1)).alias("ne"))
+    t = member.where("split = 'train'").select(F.col("id").alias("b"), F.col("source").alias("train_source"), "segment_id").distinct().groupBy("b", "train_source").agg(F.count(F.lit(1)).alias("nt"))
+    # A segment of a document on both sides is no pair with itself.
+    both = member.where("split <> 'train'").select(F.col("id").alias("a"), *sides, "segment_id").join(member.where("split = 'train'").select("segment_id", F.col("source").alias("train_source")).distinct(), "segment_id")
+    own = both.groupBy("a", *sides, "train_source").agg(F.count(F.lit(1)).alias("own"))
+    met = links.join(e, "a").join(t, "b").groupBy("a", *sides, "train_source").agg(F.max("ne").alias("ne"), F.sum(F.col("ne") * F.col("nt")).alias("pairs"), F.sum("nt").alias("nt"), F.max(F.col("a") == F.col("b")).alias("itself"))
+    keys = ["a", *sides, "train_source"]
+    met, own = met.alias("m"), own.alias("o")
+    on = [F.col(f"m.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    n = F.when(F.col("m.itself"), F.coalesce("o.own", F.lit(0))).otherwise(0)
+    # Where the only partner of a text is the segment itself, that segment has none.
+    lone = F.when(F.col("m.nt") == 1, n).otherwise(0)
+    got = met.join(own, on, "left").select(*(F.col(f"m.{k}").alias(k) for k in keys), (F.col("m.pairs") - n).alias("pairs"), (F.col("m.ne") - lone).alias("segments"))
+    return got.groupBy(*sides, "train_source").agg(F.sum("segments").alias("segments"), F.sum("pairs").alias("pairs")).where("pairs > 0")
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
