@@ -49,14 +49,35 @@ def chains(df: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise ValueError("events supersede one another in a cycle")
 
 
+def forest(df: DataFrame, key: str, parent: str, max_rounds: int = 64) -> DataFrame:
+    """``(key, root, depth)`` of every row whose parents lead to a root (a row without parent).
+
+    Pointers are doubled each round. Rows below a parent that does not exist have no root and are left out; a cycle is an error.
+    A key with several parents has a row for each way.
+    """
+    from docloom.session import materialize
+
+    step = materialize(df.select(F.col(key).alias("k"), F.col(parent).alias("to"), F.when(F.col(parent).isNotNull(), 1).otherwise(0).cast("bigint").alias("n")), "forest")
+    step = step.withColumn("root", F.when(F.col("to").isNull(), F.col("k")))
+    for _ in range(max_rounds):
+        if not step.where("to is not null").limit(1).count():
+            return step.select(F.col("k").alias(key), "root", F.col("n").alias("depth"))
+        far = step.select(F.col("k").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"), F.col("root").alias("end"))
+        done, open_ = step.where("to is null"), step.where("to is not null")
+        moved = open_.join(far, "to").select("k", F.col("far").alias("to"), (F.col("n") + F.col("more")).alias("n"), F.col("end").alias("root"))
+        step = materialize(done.unionByName(moved), "forest")
+    raise ValueError("parents form a cycle")
+
+
 def snapshot_hash(df: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
     """One row ``(rows, digest)``: a hash of the rows that does not depend on their order.
 
     Row hashes are sorted within buckets of their first digits; the digest is that of the buckets'
-    digests in order, so no list holds more than a small part of all rows (``buckets`` is raised with the data).
+    digests in order, so no list holds more than a small part of all rows. ``buckets`` may be raised with the data, up to
+    2**31; another number gives another digest.
     """
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns))
-    h = df.select(F.sha2(line, 256).alias("h")).withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % buckets)
+    h = df.select(F.sha2(line, 256).alias("h")).withColumn("b", (F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % buckets))
     per = h.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
     return per.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
 

@@ -80,7 +80,7 @@ def needs_ocr_flag(spark, sf_dir):
     s = _segs(spark, sf_dir, "document_id", "index", F.length("text").alias("n")).groupBy("document_id").agg(F.sum("n").alias("chars"), (F.max("index") + 1).alias("pages"))
     d = _docs(spark, sf_dir).select("document_id", F.when(F.lower("media_type") == "application/pdf", "pdf").otherwise("other").alias("format")).distinct()
     j = d.join(s, "document_id", "left").na.fill(0, ["chars", "pages"])
-    return j.select("document_id", "format", "chars", "pages", needs_ocr(F.col("format"), F.col("chars"), F.col("pages"), 200).alias("needs_ocr"))
+    return j.select("document_id", "format", "chars", "pages", needs_ocr(F.col("format"), F.col("chars"), F.col("pages")).alias("needs_ocr"))
 
 
 def path_versions(spark, sf_dir):
@@ -90,15 +90,9 @@ def path_versions(spark, sf_dir):
 
 
 def attachment_tree(spark, sf_dir):
-    """Every document with its root and its depth in the forest of mails."""
+    """Every document with its root and its depth in the forest of mails; pointers are doubled, so any depth is a few joins."""
     d = _docs(spark, sf_dir).select("document_id", "parent_document_id").distinct()
-    d.createOrReplaceTempView("docloom_tree")
-    return spark.sql("""
-      with recursive tree(document_id, root, depth) as (
-        select document_id, document_id, cast(0 as bigint) from docloom_tree where parent_document_id is null
-        union all
-        select c.document_id, t.root, t.depth + 1 from docloom_tree c join tree t on c.parent_document_id = t.document_id
-      ) select document_id, root, depth from tree""")
+    return labels.forest(d, "document_id", "parent_document_id")
 
 
 def split_counts(spark, sf_dir):
@@ -278,7 +272,7 @@ and document_id not in (select document_id from ingested_documents, l where inge
     "needs_ocr_flag": f"""with {_DOCS}, {_SEGS}, s as (select document_id, sum(length(text)) as chars, max("index") + 1 as pages from segs group by 1),
 d as (select distinct document_id, case when lower(media_type) = 'application/pdf' then 'pdf' else 'other' end as format from docs),
 j as (select d.document_id as document_id, format, cast(coalesce(chars, 0) as bigint) as chars, coalesce(pages, 0) as pages from d left join s on d.document_id = s.document_id)
-select document_id, format, chars, pages, case when format <> 'pdf' then false when pages = 0 then true else chars / pages < 200 end as needs_ocr from j""",
+select document_id, format, chars, pages, case when format <> 'pdf' then false when pages = 0 then true else chars / pages < 40 end as needs_ocr from j""",
     "path_versions": f"""with {_DOCS}, r as (select source_path, document_id, row_number() over (partition by source_path order by ingested_at, document_id) as a, row_number() over (partition by source_path order by ingested_at desc, document_id desc) as z from docs),
 v as (select source_path, count(distinct document_id) as versions from docs group by 1 having count(distinct document_id) > 1)
 select v.source_path as source_path, versions, x.document_id as oldest, y.document_id as newest from v join r x on x.source_path = v.source_path and x.a = 1 join r y on y.source_path = v.source_path and y.z = 1""",
@@ -315,7 +309,7 @@ select digest, train, evaluation from g where train > 0 and evaluation > 0""",
   select event_id, document_id, cast(1 as bigint) from ev where supersedes is null or supersedes = event_id or supersedes not in (select event_id from ev)
   union all select e.event_id, e.document_id, t.n + 1 from ev e join t on e.supersedes = t.event_id where e.supersedes <> e.event_id)
 select document_id, max(n) as length from t group by 1 having max(n) >= 2""",
-    "label_snapshot": f"""with {_EV}, {_CUR}, h as (select sha256(document_id || '|' || class_key || '|' || source) as h from cur), b as (select substr(h, 1, 3) as b, count(*) as n, sha256(string_agg(h, '' order by h)) as d from h group by 1)
+    "label_snapshot": f"""with {_EV}, {_CUR}, h as (select sha256(document_id || '|' || class_key || '|' || source) as h from cur), b as (select substr(h, 6, 3) as b, count(*) as n, sha256(string_agg(h, '' order by h)) as d from h group by 1)
 select cast(sum(n) as bigint) as rows, sha256(string_agg(d, '' order by b)) as digest from b""",
     "label_weights": f"""with {_EV}, {_CUR}, w as (select class_key, source, supersedes, case source when 'generator' then 1.0 when 'human' then 1.0 when 'llm' then 0.3 when 'rule' then 0.2 when 'bootstrap' then 0.0 end as w from cur)
 select class_key, count(*) as labels, round(sum(cast(w as double)), 4) as weight, round(sum(cast(case when supersedes is not null and source = 'human' then 2.0 else w end as double)), 4) as corrected_weight from w group by 1""",

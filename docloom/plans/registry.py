@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-MODULES = ("text_queries", "archive_queries", "model_queries")
+MODULES = ("ingest_queries", "text_queries", "archive_queries", "model_queries")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _name in MODULES:

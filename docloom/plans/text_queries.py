@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import boilerplate, detect, features
 from docloom.functions.text import collapse_whitespace, derive_id, file_name, normalize_native, normalize_text
 from docloom.operators.ingest import MIN_CHARS_PER_PAGE
+from docloom.plans.unicode_sql import nfkc
 from docloom.session import table
 
 #: What Python counts as white space, for engines whose \s is ASCII.
@@ -65,7 +66,7 @@ def strip_boilerplate_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal text with NFKC (no SQL counterpart)."""
+    """Normal text with NFKC."""
     text = normalize_text("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest"))
 
@@ -95,9 +96,27 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("document_id", "source_path", file_name("source_path").alias("derived"), (file_name("source_path") == F.col("file_name")).alias("agrees"))
 
 
+#: First bytes and name of a file made of a text, and its format: a text is that of row ``doc_id % 12``.
+FILES = [
+    (b"%PDF-1.7\n", "a.xlsx", "pdf"),
+    (b"<!DOCTYPE html>\n", "a.bin", "html"),
+    (b" \n\xef\xbb\xbf <HTML>", "a.dat", "html"),
+    (b"From: a@x.example\r\nSubject: b\r\n\r\n", "a", "eml"),
+    (b"Delivered-To: x\nDate: z\nTo: y\n\n", "a.txt", "eml"),
+    (b"kein Kopf\n", "a.EML", "eml"),
+    (b"kopf;zeile\n", "a.csv", "csv"),
+    (b"kopf\tzeile\n", "a.TSV", "csv"),
+    (b"<p>", "a.htm", "html"),
+    (b"\x89PNG\r\n\x1a\n", "a.pdf", "image"),
+    (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "a.eml", "msg"),
+    (b"erste Zeile\n", "a.txt", "unknown"),
+]
+
+
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The format of every text seen as a file without extension."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"))
+    """The format of every text as a file of one of twelve kinds, by its bytes and its name."""
+    kind = F.element_at(F.array(*(F.struct(F.lit(h).alias("head"), F.lit(n).alias("name")) for h, n, _ in FILES)), (F.col("doc_id") % len(FILES) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(kind["head"], F.coalesce("text", F.lit("")).cast("binary")).alias("content"), kind["name"].alias("name"))
     fmt = detect.detect_format("content", "name")
     return d.select("doc_id", fmt.alias("format")).withColumn("media_type", detect.media_type("format"))
 
@@ -166,22 +185,9 @@ select segment_id, length(text) as chars, md5(text) as digest from cleaned""",
     "derive_segment_id": """select segment_id, derived, derived = segment_id as agrees from (
   select segment_id, substr(sha256(document_id || chr(0) || cast("index" as varchar) || chr(0)), 1, 32) as derived from (select distinct segment_id, document_id, "index" from segments))""",
     "file_names": "select document_id, source_path, regexp_replace(source_path, '^.*/', '') as derived, regexp_replace(source_path, '^.*/', '') = file_name as agrees from (select distinct document_id, source_path, file_name from ingested_documents)",
-    "detect_documents": r"""with heads as (
-  select doc_id, text, regexp_replace(text, '^[ \t\n\r\f\x0b]*(\x{feff})?[ \t\n\r\f\x0b]*', '') as h from documents
-), firsts as (
-  select doc_id, text, h, list_filter(list_slice(string_split_regex(h, '\r\n|\r|\n'), 1, 16), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12)) <> '') as l from heads
-), named as (
-  select doc_id, text, h, l, list_distinct(list_filter(list_transform(l, lambda x: lower(regexp_extract(x, '^(?i)(from|to|cc|bcc|subject|date|message-id|received|return-path|mime-version|content-type):', 1))), lambda x: x <> '')) as n from firsts
-), found as (
-  select doc_id, case
-    when text like '\%PDF-%' escape '\' then 'pdf'
-    when text like 'II*' || chr(0) || '%' or text like 'MM' || chr(0) || '*%' then 'image'
-    when regexp_matches(lower(substr(h, 1, 15)), '^(<!doctype html|<html)') then 'html'
-    when len(l) > 0 and regexp_matches(l[1], '^[A-Za-z][A-Za-z0-9-]*:[ \t]|^From \S+') and len(n) >= 2 then 'eml'
-    else 'unknown' end as format
-  from named
-)
-select doc_id, format, case format when 'pdf' then 'application/pdf' when 'image' then 'image/*' when 'html' then 'text/html' when 'eml' then 'message/rfc822' else 'application/octet-stream' end as media_type from found""",
+    "detect_documents": f"""select doc_id, f[doc_id % {len(FILES)} + 1] as format, m[doc_id % {len(FILES)} + 1] as media_type from documents,
+(select {[f for _, _, f in FILES]} as f, {[detect.MEDIA_TYPES[f] for _, _, f in FILES]} as m)""",
+    "normalize_documents": f"select doc_id, length(t) as chars, md5(t) as digest from (select doc_id, {NATIVE_SQL.replace('text', 'n')} as t from (select doc_id, {nfkc('text')} as n from documents))",
     "structural_features": r"""select doc_id, length(text) as chars, len(l) as lines,
   round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1), 6) as digit_share,
   round(length(regexp_replace(text, '[^A-ZÄÖÜ]', '', 'g')) / greatest(length(text), 1), 6) as upper_share,
