@@ -6,9 +6,11 @@ A table of predictions has ``label``, ``predicted``, ``confidence``, ``margin``,
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.running import running
@@ -178,6 +180,25 @@ def metrics(p: DataFrame, classes: list) -> dict:
     }
 
 
+_RUNS = "run_id bigint, model_type string, macro_f1 double, ece double, aurc double, auroc double, brier double, coverage double, per_class_f1 string, promoted boolean"
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The register of runs; empty if there is none yet."""
+    from docloom.sources.tables import path_exists
+
+    path = f"{folder}/runs.parquet"
+    return spark.read.schema(_RUNS).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], _RUNS)
+
+
+def enter(spark: SparkSession, folder: str, model_type: str, m: dict, promoted: bool) -> int:
+    """Appends a run to the register, promoted or not, and gives its number."""
+    number = (runs(spark, folder).agg(F.max("run_id")).first()[0] or 0) + 1
+    row = (number, model_type, *(m[c] for c in ("macro_f1", "ece", "aurc", "auroc", "brier", "coverage")), json.dumps(m["per_class"], sort_keys=True), bool(promoted))
+    spark.createDataFrame([row], _RUNS).coalesce(1).write.mode("append").parquet(f"{folder}/runs.parquet")
+    return number
+
+
 def decide(p: DataFrame, distance: str, delta: float, tau: float | None, residual: str) -> DataFrame:
     """The residual class for what is too far from everything, AUTO above the threshold, else REVIEW."""
     auto = F.lit(False) if tau is None else F.col("confidence") >= F.lit(float(tau))

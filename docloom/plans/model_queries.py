@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import vectors
 from docloom.operators import evaluate, learning
 from docloom.operators.running import running
-from docloom.session import materialize, table
+from docloom.session import materialize, shared_path, table
 
 TEMPERATURE = 0.1
 TARGET = 0.9
@@ -137,24 +137,46 @@ def bootstrap_interval(spark, sf_dir):
     return evaluate.bootstrap_accuracy(_predictions(spark, sf_dir)[0], "vec_id")
 
 
+def _figures(spark, sf_dir, metric: str) -> dict:
+    """All figures of one model, from predictions that are made once."""
+    p, classes = _predictions(spark, sf_dir, metric)
+    return evaluate.metrics(materialize(p.select("label", "predicted", "confidence", "probabilities"), "predictions"), classes)
+
+
 def promotion_gate(spark, sf_dir):
     """Every check of the gate for the Euclidean model against the one by cosine."""
-    old, new = (evaluate.metrics(*_predictions(spark, sf_dir, m)) for m in ("cosine", "euclid"))
-    gate = evaluate.promotion_gate(new, old)
+    gate = evaluate.promotion_gate(_figures(spark, sf_dir, "euclid"), _figures(spark, sf_dir, "cosine"))
     return spark.createDataFrame(sorted((k, bool(v)) for k, v in gate.items()), "check string, passed boolean")
 
 
 def run_register(spark, sf_dir):
-    """Rows of the register of runs, rejected ones included; class figures as JSON."""
-    rows = []
-    old = None
-    for run, metric in enumerate(("cosine", "euclid"), 1):
-        m = evaluate.metrics(*_predictions(spark, sf_dir, metric))
-        ok = True if old is None else evaluate.promotion_gate(m, old)["promoted"]
-        rows.append((run, metric, m["macro_f1"], m["ece"], m["aurc"], m["auroc"], m["brier"], m["coverage"], m["per_class"], ok))
-        old = m if ok else old
-    df = spark.createDataFrame(rows, "run_id bigint, model_type string, macro_f1 double, ece double, aurc double, auroc double, brier double, coverage double, per_class map<string,double>, promoted boolean")
-    return df.withColumn("per_class_f1", F.to_json("per_class")).drop("per_class")
+    """The register of runs after two models were entered, rejected ones included; class figures are JSON in the table, here their number and the lowest."""
+    folder, old = shared_path(spark, "register"), None
+    for metric in ("cosine", "euclid"):
+        m = _figures(spark, sf_dir, metric)
+        promoted = old is None or evaluate.promotion_gate(m, old)["promoted"]
+        evaluate.enter(spark, folder, metric, m, promoted)
+        old = m if promoted else old
+    f1 = F.map_values(F.from_json("per_class_f1", "map<string,double>"))
+    figures = [F.round(c, 4).alias(c) for c in ("macro_f1", "ece", "aurc", "auroc", "brier", "coverage")]
+    return evaluate.runs(spark, folder).select("run_id", "model_type", *figures, "promoted", F.size(f1).cast("bigint").alias("classes"), F.round(F.array_min(f1), 4).alias("lowest_f1"))
+
+
+def correction_queue(spark, sf_dir):
+    """Head of the review queue: the neighbours of every fiftieth row whose class was corrected, the nearest first; no row twice."""
+    p, _ = _predictions(spark, sf_dir)
+    df = _emb(spark, sf_dir)
+    wrong = df.join(p.where("vec_id % 50 = 0 and label <> predicted").select("vec_id"), "vec_id", "left_semi")
+    near = vectors.nearest(wrong, df, 5).select("query", "neighbour", F.round("similarity", 5).alias("similarity"))
+    fresh = near.join(wrong.select(F.col("vec_id").alias("neighbour")), "neighbour", "left_anti")
+    return fresh.groupBy(F.col("neighbour").alias("vec_id")).agg(F.max("similarity").alias("similarity"))
+
+
+def macro_f1_residual(spark, sf_dir):
+    """Macro-F1 of the classes proper, with the residual class (label 0 here) apart: its precision and recall."""
+    rows = class_f1(spark, sf_dir)
+    rest = F.col("label") == 0
+    return rows.agg(F.count_if(~rest).alias("classes"), F.round(F.avg(F.when(~rest, F.col("f1"))), 5).alias("macro_f1"), F.max(F.when(rest, F.col("precision"))).alias("residual_precision"), F.max(F.when(rest, F.col("recall"))).alias("residual_recall"))
 
 
 def uncertainty_queue(spark, sf_dir):
@@ -289,7 +311,7 @@ def learning_curve_readings(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (nearest_centroid, knn_ood, nearest_neighbours, delta_p95, decisions, temperature_grid, best_temperature, confusion_matrix, class_f1, macro_f1, reliability_table, expected_calibration_error, brier_nll, coverage_at_precision, risk_coverage_area, confidence_auroc, mcnemar_test, bootstrap_interval, promotion_gate, run_register, uncertainty_queue, random_admixture, spot_check, stratified_folds, yield_split, class_weights, logistic_regression, linear_svm, isotonic_calibration, kmeans_diversity, svd_variance, learning_curve, learning_curve_readings)
+    for f in (nearest_centroid, knn_ood, nearest_neighbours, delta_p95, decisions, temperature_grid, best_temperature, confusion_matrix, class_f1, macro_f1, reliability_table, expected_calibration_error, brier_nll, coverage_at_precision, risk_coverage_area, confidence_auroc, mcnemar_test, bootstrap_interval, promotion_gate, run_register, correction_queue, macro_f1_residual, uncertainty_queue, random_admixture, spot_check, stratified_folds, yield_split, class_weights, logistic_regression, linear_svm, isotonic_calibration, kmeans_diversity, svd_variance, learning_curve, learning_curve_readings)
 }
 
 
@@ -309,7 +331,44 @@ _PAIRS = """e as (select vec_id, generate_subscripts(embedding, 1) as i, cast(un
 d as (select q.vec_id as q, b.vec_id as b, sum(q.x * b.x) as d from e q join e b on q.i = b.i where q.vec_id % 50 = 0 and b.vec_id <> q.vec_id group by 1, 2),
 rk as (select q, b, round(d / (x.n * y.n), 9) as s, row_number() over (partition by q order by round(d / (x.n * y.n), 9) desc, b) as r from d join nrm x on x.vec_id = q join nrm y on y.vec_id = b)"""
 
+
+
+def _model_sql(name: str, euclid: bool) -> str:
+    """CTEs of one model: ``name_pred`` and the figures of a run in ``name_m`` (one row) and ``name_f`` (one row per class)."""
+    n = name
+    score = _score_sql(euclid).replace("e as (", f"{n}_e as (").replace("c as (select label", f"{n}_c as (select label").replace(" from e group by 1, 2), s as (select vec_id, e.label", f" from {n}_e e group by 1, 2), {n}_s as (select vec_id, e.label").replace("from e join c on", f"from {n}_e e join {n}_c c on")
+    return f"""{score}, {n}_top as (select vec_id, max(s) as t from {n}_s group by 1), {n}_x as (select s.vec_id as vec_id, label, k, s, exp((s - t) / {TEMPERATURE}) as x from {n}_s s join {n}_top top on s.vec_id = top.vec_id),
+{n}_z as (select vec_id, sum(x) as z from {n}_x group by 1), {n}_pr as (select x.vec_id as vec_id, label, k, x / z as p, row_number() over (partition by x.vec_id order by s desc, k) as r from {n}_x x join {n}_z z on x.vec_id = z.vec_id),
+{n}_pred as (select vec_id, label, max(case when r = 1 then k end) as predicted, max(case when r = 1 then p end) as confidence, sum((p - case when k = label then 1 else 0 end) * (p - case when k = label then 1 else 0 end)) as b from {n}_pr group by 1, 2),
+{n}_k as (select label as k from {n}_pred union select predicted from {n}_pred), {n}_f as (select k, round(2 * count(*) filter (where label = k and predicted = k) / cast(count(*) filter (where label = k) + count(*) filter (where predicted = k) as double), 6) as f1 from {n}_pred, {n}_k group by 1),
+{n}_bin as (select least(floor(confidence * 10), 9) as b, count(*) as n, avg(confidence) as c, avg(case when label = predicted then 1.0 else 0.0 end) as a from {n}_pred group by 1),
+{n}_g as (select round(confidence, 6) as confidence, count(*) as n, count(*) filter (where label = predicted) as ok from {n}_pred group by 1), {n}_cv as (select confidence, n, ok, sum(n) over (order by confidence desc) as covered, sum(ok) over (order by confidence desc) as right_ from {n}_g),
+{n}_m as (select (select avg(f1) from {n}_f) as macro_f1, (select sum(n * abs(c - a)) / sum(n) from {n}_bin) as ece, (select avg(b) from {n}_pred) as brier,
+(select max(case when right_ / cast(covered as double) >= 0.98 then covered end) / cast(sum(n) as double) from {n}_cv) as coverage, (select sum(n * (1 - right_ / cast(covered as double))) / sum(n) from {n}_cv) as aurc,
+(select 1 - sum(ok * (covered - right_ - (n - ok) + (n - ok) / 2.0)) / (sum(ok) * (sum(n) - sum(ok))) from {n}_cv) as auroc)"""
+
+
+_GATE = f"""with {_model_sql("o", False)}, {_model_sql("n", True)},
+checks as (select n_m.macro_f1 >= o_m.macro_f1 - 0.01 as macro_f1, round(n_m.ece, 6) <= round(o_m.ece, 6) + 0.01 as ece, coalesce(round(n_m.coverage, 6), 0) >= coalesce(round(o_m.coverage, 6), 0) as coverage,
+not exists (select 1 from o_f left join n_f on o_f.k = n_f.k where coalesce(n_f.f1, 0) < o_f.f1 - 0.05) as class_f1 from n_m, o_m),
+gate as (select *, macro_f1 and ece and coverage and class_f1 as promoted from checks)"""
+
 ORACLE = {
+    "mcnemar_test": f"""with {_model_sql("o", False)}, {_model_sql("n", True)}, j as (select o_pred.label = o_pred.predicted as a, n_pred.label = n_pred.predicted as b from o_pred join n_pred on o_pred.vec_id = n_pred.vec_id),
+d as (select count(*) filter (where a and not b) as only_a, count(*) filter (where b and not a) as only_b from j)
+select only_a, only_b, round(case when only_a + only_b > 0 then pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) else 0.0 end, 6) as statistic from d""",
+    "promotion_gate": f"{_GATE} select 'macro_f1' as \"check\", macro_f1 as passed from gate union all select 'ece', ece from gate union all select 'coverage', coverage from gate union all select 'class_f1', class_f1 from gate union all select 'promoted', promoted from gate",
+    "run_register": _GATE + "".join(
+        f" {'union all' if i else ''} select {i + 1}::bigint as run_id, '{metric}' as model_type, round(macro_f1, 4) as macro_f1, round(ece, 4) as ece, round(aurc, 4) as aurc, round(auroc, 4) as auroc, round(brier, 4) as brier, round(coverage, 4) as coverage, {promoted} as promoted, (select count(*) from {n}_f) as classes, (select round(min(f1), 4) from {n}_f) as lowest_f1 from {n}_m"
+        for i, (n, metric, promoted) in enumerate((("o", "cosine", "true"), ("n", "euclid", "(select promoted from gate)")))
+    ),
+    "correction_queue": f"""with {_PRED}, w as (select vec_id from pred where vec_id % 50 = 0 and label <> predicted), pe as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings), nrm as (select vec_id, sqrt(sum(x * x)) as n from pe group by 1),
+d as (select q.vec_id as q, b.vec_id as b, sum(q.x * b.x) as d from pe q join pe b on q.i = b.i where q.vec_id in (select vec_id from w) and b.vec_id <> q.vec_id group by 1, 2),
+rk as (select q, b, round(d / (x.n * y.n), 9) as s, row_number() over (partition by q order by round(d / (x.n * y.n), 9) desc, b) as r from d join nrm x on x.vec_id = q join nrm y on y.vec_id = b)
+select b as vec_id, max(round(s, 5)) as similarity from rk where r <= 5 and b not in (select vec_id from w) group by 1""",
+    "macro_f1_residual": f"""with {_PRED}, k as (select label as k from pred union select predicted from pred), m as (select k, count(*) filter (where label = k) as support, count(*) filter (where predicted = k) as said, count(*) filter (where label = k and predicted = k) as hit from pred, k group by 1),
+f as (select k, round(case when said > 0 then hit / cast(said as double) else 0 end, 6) as p, round(case when support > 0 then hit / cast(support as double) else 0 end, 6) as r, round(2 * hit / cast(support + said as double), 6) as f1 from m)
+select count(*) filter (where k <> 0) as classes, round(avg(case when k <> 0 then f1 end), 5) as macro_f1, max(case when k = 0 then p end) as residual_precision, max(case when k = 0 then r end) as residual_recall from f""",
     "nearest_centroid": f"with {_PRED} select vec_id, label, predicted, round(confidence, 6) as confidence, round(margin, 6) as margin, round(entropy, 6) as entropy from pred",
     "knn_ood": f"""with {_PAIRS}, m as (select q, e.i as i, avg(e.x) as m from rk join e on e.vec_id = rk.b where r <= 10 group by 1, 2)
 select q as vec_id, round(1 - sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 5) as distance from m join e on e.vec_id = q and e.i = m.i group by 1""",
