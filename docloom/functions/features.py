@@ -114,3 +114,69 @@ def require_version(df: DataFrame, version: str, column: str = "feature_version"
     if other:
         raise ValueError(f"features of version {version} are needed, there are also {', '.join(sorted(map(str, other)))}")
     return df
+
+
+#: Kinds of figures that are counted in the text of every segment, as patterns both Java and RE2 read alike.
+COUNTED = {
+    "digits": "[0-9]",
+    "amounts": AMOUNT,
+    "percents": PERCENT,
+    "ibans": IBAN,
+    "vat_ids": VAT_ID,
+    "tax_numbers": r"\b[0-9]{2,3}/[0-9]{3}/[0-9]{4,5}\b",
+    "reference_numbers": r"\b[A-Z]{2,}-[0-9]{3,}\b",
+    "dates": DATE,
+    "mail_addresses": r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+",
+    "links": "https?://",
+    "phone_numbers": r"\+?[0-9]{2,5}[ /-][0-9]{4,}",
+    "cell_marks": r"\|",
+    "colons": ":",
+    "questions": r"\?",
+    "brackets": "[(]",
+    "signature_lines": "(?i)unterschrift|gez[.]|_____",
+    "paragraph_marks": "§",
+    "agenda_items": r"\bTOP [0-9]+",
+    "payment_terms": "(?i)zahlungsziel",
+    "credit_words": "(?i)gutschrift",
+    "contract_words": "(?i)vertragspartner",
+    "attendance_words": "(?i)anwesend",
+    "notice_words": "(?i)kündigungsfrist",
+}
+
+
+def document_structure(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """One row per document with its structural figures and its origin.
+
+    Counts are summed over segments (partial aggregates), so a document of any number of segments is no task of its
+    own; shares and densities follow from the sums. A document without text has zero counts and null shares. ``documents`` has one row
+    per document (``document_id, media_type, ocr_applied, file_name, parent_document_id``), ``segments`` distinct segments.
+    """
+    text = F.coalesce("text", F.lit(""))
+    counts = [F.sum(F.regexp_count(text, F.lit(p))).alias(n) for n, p in COUNTED.items()]
+    size = F.length(text)
+    own = segments.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("segments"),
+        F.sum(size).alias("chars"),
+        F.max(F.coalesce("index", F.lit(0)) + 1).alias("places"),
+        F.count("heading").alias("headings"),
+        F.count_if(size < 40).alias("short_segments"),
+        F.max(size).alias("longest_segment"),
+        *counts,
+    )
+    names = ["segments", "chars", "places", "headings", "short_segments", "longest_segment", *COUNTED]
+    j = documents.join(own, "document_id", "left").na.fill(0, names)
+    share = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
+    shares = {"digit_share": share("digits", "chars"), "date_density": share("dates", "chars"), "chars_per_place": share("chars", "places"), "cell_mark_share": share("cell_marks", "chars"), "short_share": share("short_segments", "segments")}
+    origin = {"media_type": F.lower(F.trim("media_type")), "ocr_applied": F.coalesce("ocr_applied", F.lit(False)), "attached": F.col("parent_document_id").isNotNull(), "name_tokens": F.regexp_count("file_name", F.lit("[A-Za-z]+")).cast("bigint")}
+    return j.select("document_id", *(F.col(n).cast("bigint").alias(n) for n in names), *(c.alias(n) for n, c in {**shares, **origin}.items()))
+
+
+def weighted_mean(chunks: DataFrame, document: str, position: str, vector: str) -> DataFrame:
+    """``(document, vector)``: the mean of a document's chunk vectors with the weights ``1 / (1 + i / 4)``, ``i`` from 0.
+
+    Sums are partial aggregates per document and coordinate. Null vectors are left out.
+    """
+    w = 1 / (1 + F.col(position) / 4)
+    rows = chunks.where(F.col(vector).isNotNull()).select(F.col(document).alias("d"), w.alias("w"), F.posexplode(vector).alias("at", "x"))
+    per = rows.groupBy("d", "at").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("m"))
+    return per.groupBy("d").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s["m"]).alias(vector)).withColumnRenamed("d", document)

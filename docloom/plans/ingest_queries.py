@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom.functions import detect
 from docloom.operators import ingest
 from docloom.session import shared_path, ship, table
-from docloom.sources import raw, tables, writers
+from docloom.sources import corpus, raw, tables, writers
 from docloom.sources.writers import Block, Spec
 
 MAIL = b"From: a@x.example\r\nTo: b@x.example\r\nSubject: Hallo\r\n\r\nText"
@@ -200,7 +200,15 @@ def amounts_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "in_range boolean, tax boolean, total boolean, form boolean").groupBy("in_range", "tax", "total", "form").agg(F.count(F.lit(1)).alias("seeds"))
 
 
-QUERIES = {f.__name__: f for f in (detect_files, extract_segments, extract_attachments, extract_status, ingest_runs, ingest_documents, mail_round_trip, docx_round_trip, written_layout, amounts_drawn)}
+def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated letters: templates, variants and distinct letters per class and format, and how many carry the common foot."""
+    foot = corpus.foot().paragraphs[0]
+    rows = [(s.class_key, s.template_id, s.formats[0], repr((s.title, s.blocks)), s.blocks[-1].paragraphs[0] == foot) for s in corpus.build()]
+    df = spark.createDataFrame(rows, "class_key string, template_id string, format string, letter string, foot boolean")
+    return df.groupBy("class_key", "format").agg(F.count_distinct("template_id").alias("templates"), F.count(F.lit(1)).alias("letters"), F.count_distinct("letter").alias("distinct_letters"), F.count_if("foot").alias("with_foot"))
+
+
+QUERIES = {f.__name__: f for f in (detect_files, extract_segments, extract_attachments, extract_status, ingest_runs, ingest_documents, mail_round_trip, docx_round_trip, written_layout, amounts_drawn, generated_corpus)}
 
 
 def _values(names: str, rows: list[tuple]) -> str:
@@ -288,5 +296,6 @@ ORACLE = {
             ("x.eml", 1, "Körper", f"Leistung -------- Wir liefern die Teile. Positionen ---------- {_LAYOUT_TABLE} Hinweis ------- Zahlbar sofort."),
         ],
     ),
+    "generated_corpus": "with c as (select unnest(['RECHNUNG', 'GUTSCHRIFT', 'VERTRAG', 'AGB', 'BERICHT', 'PROTOKOLL', 'SONSTIGES']) as class_key, unnest(range(7)) as i), f as (select class_key, 'pdf' as format, case when i < 2 then 4 else 3 end as templates from c union all select class_key, 'docx', case when i < 3 then 2 else 3 end from c union all select class_key, 'eml', case when i = 2 then 2 else 1 end from c union all select class_key, 'xlsx', 1 from c) select class_key, format, cast(templates as bigint) as templates, cast(10 * templates as bigint) as letters, cast(10 * templates as bigint) as distinct_letters, cast(10 * templates as bigint) as with_foot from f",
     "amounts_drawn": "select true as in_range, true as tax, true as total, true as form, 200::bigint as seeds",
 }

@@ -126,6 +126,21 @@ def structural_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in figures.items()))
 
 
+def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some forty structural figures and marks of origin of every ingested document."""
+    docs = table(spark, sf_dir, "ingested_documents").groupBy("document_id").agg(*(F.min(c).alias(c) for c in ("media_type", "ocr_applied", "file_name", "parent_document_id")))
+    segs = table(spark, sf_dir, "segments").select("segment_id", "document_id", "index", "heading", "text").distinct()
+    return features.document_structure(docs, segs)
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of four as the chunks of one document: the first coordinate and the length of their weighted mean."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("document"), (F.col("vec_id") % 4).alias("i"), "embedding")
+    v = features.weighted_mean(e, "document", "i", "embedding")
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return v.select("document", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(F.sqrt(square), 6).alias("norm"))
+
+
 def char_ngram_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten strongest character n-grams of each document."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(features.char_ngrams(F.col("text"))).alias("gram"))
@@ -163,7 +178,7 @@ def chunk_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (document_profile, strip_boilerplate_lines, strip_boilerplate_segments, normalize_documents, normalize_native_documents, derive_document_id, derive_segment_id, file_names, detect_documents, structural_features, char_ngram_tfidf, word_frequencies, pmi_keywords, heading_similarity, chunk_weights)
+    for f in (document_profile, strip_boilerplate_lines, strip_boilerplate_segments, normalize_documents, normalize_native_documents, derive_document_id, derive_segment_id, file_names, detect_documents, structural_features, document_structure, document_vectors, char_ngram_tfidf, word_frequencies, pmi_keywords, heading_similarity, chunk_weights)
 }
 
 _WORDS_SQL = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
@@ -173,6 +188,19 @@ _GRAMS_SQL = f"""tokens as (
   select doc_id, substr(p, i, n) as gram from (select doc_id, p, n, unnest(generate_series(1, length(p) - n + 1)) as i from tokens, (select unnest([3, 4, 5]) as n) where length(p) >= n)
 )"""
 
+def _structure_sql() -> str:
+    quoted = {n: p.replace("'", "''") for n, p in features.COUNTED.items()}
+    counts = ", ".join(f"sum(len(regexp_extract_all(t, '{p}'))) as {n}" for n, p in quoted.items())
+    zero = ", ".join(f"cast(coalesce({n}, 0) as bigint) as {n}" for n in ("segments", "chars", "places", "headings", "short_segments", "longest_segment", *quoted))
+    return f"""with seg as (select distinct segment_id, document_id, "index", heading, text from segments), s as (select *, coalesce(text, '') as t from seg),
+own as (select document_id, count(*) as segments, sum(length(t)) as chars, max(coalesce("index", 0) + 1) as places, count(heading) as headings, count(*) filter (where length(t) < 40) as short_segments, max(length(t)) as longest_segment, {counts} from s group by 1),
+docs as (select document_id, min(media_type) as media_type, min(ocr_applied) as ocr_applied, min(file_name) as file_name, min(parent_document_id) as parent_document_id from ingested_documents where document_id is not null group by 1),
+j as (select docs.document_id as document_id, {zero}, media_type as mt, ocr_applied as oa, file_name, parent_document_id from docs left join own on docs.document_id = own.document_id)
+select * exclude (mt, oa, file_name, parent_document_id), case when chars > 0 then round(digits / cast(chars as double), 6) end as digit_share, case when chars > 0 then round(dates / cast(chars as double), 6) end as date_density,
+case when places > 0 then round(chars / cast(places as double), 6) end as chars_per_place, case when chars > 0 then round(cell_marks / cast(chars as double), 6) end as cell_mark_share, case when segments > 0 then round(short_segments / cast(segments as double), 6) end as short_share,
+lower(trim(mt)) as media_type, coalesce(oa, false) as ocr_applied, parent_document_id is not null as attached, len(regexp_extract_all(file_name, '[A-Za-z]+')) as name_tokens from j"""
+
+
 ORACLE = {
     "document_profile": f"""with {LINES_SQL}, filled as (select * from lines where text <> ''), {boilerplate_sql("filled", "doc_id", "i")}
 select doc_id, count(*) as segments, cast(sum(length(text)) as bigint) as chars, sum(length(text)) / count(*) < 40 as needs_ocr from cleaned where text <> '' group by doc_id""",
@@ -200,6 +228,9 @@ select segment_id, length(text) as chars, md5(text) as digest from cleaned""",
   len(list_filter(l, lambda x: length(x) < 20)) as short_lines,
   len(list_filter(l, lambda x: contains(x, '|') or contains(x, chr(9)))) as table_lines
 from (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '') as l from documents)""",
+    "document_structure": _structure_sql(),
+    "document_vectors": """with e as (select vec_id // 4 as document, 1 / (1 + (vec_id % 4) / 4.0) as w, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings),
+m as (select document, i, sum(w * x) / sum(w) as m from e group by 1, 2) select document, round(max(case when i = 1 then m end), 6) as first, round(sqrt(sum(m * m)), 6) as norm from m group by 1""",
     "char_ngram_tfidf": f"""with {_GRAMS_SQL}, tf as (select doc_id, gram, count(*) as n from grams group by 1, 2), df as (select gram, count(*) as d from tf group by 1), total as (select count(distinct doc_id) as c from tf),
 w as (select doc_id, tf.gram as gram, round((1 + ln(n)) * ln(cast(c as double) / d), 6) as weight from tf join df on tf.gram = df.gram, total)
 select doc_id, rank, gram, weight from (select doc_id, gram, weight, row_number() over (partition by doc_id order by weight desc, gram) as rank from w) where rank <= 10""",

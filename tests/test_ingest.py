@@ -10,7 +10,7 @@ from docloom.functions.detect import MEDIA_TYPES, detect_format
 from docloom.functions.text import derive_id, normalize_native, normalize_python, normalize_text
 from docloom.operators import ingest
 from docloom.session import setting
-from docloom.sources import mail, office, pdf, raw, tables, web, writers
+from docloom.sources import corpus, mail, office, pdf, raw, tables, web, writers
 from docloom.sources.writers import Block, Spec
 
 
@@ -229,6 +229,33 @@ def test_writers_are_reproducible_and_complete():
         writers.pdf_bytes([[(10, "x")] * 200])
 
 
+def test_corpus_invariants():
+    from collections import Counter
+
+    specs = corpus.build()
+    assert specs == corpus.build() and len(specs) == 560
+    assert Counter(corpus.formats().values()) == {"pdf": 23, "docx": 18, "eml": 8, "xlsx": 7}
+    assert sum(s.template_id.endswith(corpus.ATTACHED) for s in specs) == 10
+    assert len({(s.title, s.blocks) for s in specs}) == 560
+    assert {n for n in Counter(s.class_key for s in specs).values()} == {80}
+    shapes = {}
+    for s in specs:
+        shapes.setdefault(s.class_key, set()).add((len(s.blocks), sum(bool(b.header) for b in s.blocks)))
+    assert len(set(map(frozenset, shapes.values()))) == 1  # the same structure in every class
+
+
+def test_generate_and_ingest(spark, tmp_path):
+    raw_dir, splits = str(tmp_path / "raw"), str(tmp_path / "splits.yaml")
+    made, lines = corpus.generate(spark, raw_dir, splits, variants=1)
+    rows = made.collect()
+    assert len(rows) == 56 and "56 files" in lines[0] and "1 of them" in lines[0]
+    assert {r.split for r in rows} == {"gold", "calib", "train"} and not any(r.class_key.lower() in r.source_path for r in rows)
+    again, lines = corpus.generate(spark, raw_dir, splits, variants=1)
+    assert len(lines) == 1 and [tuple(r) for r in again.collect()] == [tuple(r) for r in rows]
+    r = ingest.ingest(spark, raw_dir, str(tmp_path / "out"))
+    assert (r.documents, r.attachments, r.failed, r.empty) == (57, 1, [], [])
+
+
 # Pipeline
 
 
