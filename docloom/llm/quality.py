@@ -63,6 +63,10 @@ SYMBOLS, LINE_WORDS = 0.1, 5
 #: Runs of letters and digits with what joins them, each one token; runs of symbols.
 TOKEN = re.compile(r"[^\W_]+(?:[.,:/-][^\W_]+)*|[^\w\s]+|_+")
 PART = re.compile(r"[^\W_]+")
+OTHER = re.compile(r"[^\w\s]+|_+")
+DIGIT = re.compile(r"\d")
+#: Marks that end or part a sentence.
+MARKS = frozenset(".,;:!?。！？؟।")
 SENTENCE_END = re.compile(r"(?<=[.!?;؟।])[\"')\]»“”]*\s+|(?<=[。！？])")
 ITEM = re.compile(r"^\s*(?:\d+(?:\.\d+)*[.)]?\s|[-–—*•·▪◦+]\s|\[[ xX]?\]|[^\W\d_]{1,12} \d+[.:)])")
 QUOTE = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
@@ -146,54 +150,53 @@ def units(text: str) -> list[tuple[str, bool]]:
 
 
 def _tokens(unit: str):
-    """Words, and other tokens with their class: a token with a digit is one number or code, others are words."""
-    words, other = [], []
+    """Lower-case words; runs of symbols; and numbers and codes: tokens with a digit and what joins them, each one token."""
+    unit = unit.lower()
+    if not DIGIT.search(unit):
+        return PART.findall(unit), OTHER.findall(unit), ()
+    words, other, codes = [], [], []
     for t in TOKEN.findall(unit):
-        if t[0].isalnum():
-            if any(map(str.isdigit, t)):
-                other.append((t, 3))
-                continue
-            parts = PART.findall(t)
-            words += parts
-            if len(parts) > 1:
-                other += [(c, 5 if c in ".,:" else 4) for c in t if not c.isalnum()]
-        elif len(t) == 1 and t in ".,;:!?。！？؟।":
-            other.append((t, 5))
+        if t.isalpha():
+            words.append(t)
+        elif not t[0].isalnum():
+            other.append(t)
+        elif DIGIT.search(t):
+            codes.append(t)
         else:
-            other.append((t, 4))
-    return words, other
+            words += PART.findall(t)
+            other += OTHER.findall(t)
+    return words, other, codes
 
 
 class _Text:
-    """Counts of a text, and per unit: words, other tokens, length, whether it ends as a sentence."""
+    """Counts of a text, and per unit: words, known function words, other token classes, length, whether it ends as a sentence, lines."""
 
     def __init__(self, text: str):
         if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
-        self.units, self.seen = [], {}
+        self.units, self.seen, known_all = [], {}, []
         self.words = self.letters = self.symbols = self.plain = 0
+        known_word = INDEX.get
         for unit, ended in units(text):
-            words, other = _tokens(unit)
-            row = [0] * 6
-            for t, c in other:
-                row[c] += len(t) if c == 4 else 1
-                if c == 3:
-                    parts = PART.findall(t)
-                    size = sum(map(len, parts))
-                    self.words += len(parts)
-                    self.letters += size
-                    self.symbols += len(t) - size
-                else:
-                    self.symbols += len(t)
-            words = [w.lower() for w in words]
-            known = [INDEX.get(w) for w in words]
-            for f in known:
-                if f is not None:
-                    self.seen[f] = self.seen.get(f, 0) + 1
+            words, other, codes = _tokens(unit)
+            known = [f for w in words if (f := known_word(w)) is not None]
+            known_all += known
+            size = sum(map(len, other))
+            marks = sum(t in MARKS for t in other)
+            for t in codes:
+                parts = PART.findall(t)
+                letters = sum(map(len, parts))
+                self.words += len(parts)
+                self.letters += letters
+                self.symbols += len(t) - letters
             self.plain += len(words)
-            self.letters += sum(map(len, words))
-            self.units.append((words, known, row, len(unit.strip()), ended, unit.strip().count("\n") + 1))
+            self.letters += len("".join(words))
+            self.symbols += size
+            unit = unit.strip()
+            self.units.append((words, known, [0, 0, 0, len(codes), size - marks, marks], len(unit), ended, unit.count("\n") + 1))
         self.words += self.plain
+        for f in known_all:
+            self.seen[f] = self.seen.get(f, 0) + 1
 
     def rows(self) -> tuple[list, list, bool]:
         """Token classes of each unit, whether it may be a sentence, and whether the language is another one."""
@@ -206,16 +209,13 @@ class _Text:
                         common[w] = common.get(w, 0) + 1
         rows, whole = [], []
         for words, known, row, _, ended, lines in self.units:
+            row = list(row)
             if other:
                 function = {w for w in words if len(w) <= 3 or common.get(w, 0) > 2}
-                mine = [w in function for w in words]
-                distinct = len(function)
+                row[0], distinct = sum(w in function for w in words), len(function)
             else:
-                mine = [f is not None for f in known]
-                distinct = len({f for f in known if f is not None})
-            row = list(row)
-            row[0] = sum(mine)
-            row[2] = sum(not m and len(w) <= 2 for m, w in zip(mine, words))
+                row[0], distinct = len(known), len(set(known))
+                row[2] = len([w for w in words if len(w) <= 2 and w not in INDEX])
             row[1] = len(words) - row[0] - row[2]
             rows.append(row)
             least = 3 if other else 2
