@@ -9,11 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import shared_path
+from docloom.sources.raw import address
+
 MAX_CLASSES = 10_000
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 1024
+BASE_BLOCK = 4096
 
 
 def centroids(df: DataFrame, label: str = "label", vector: str = "embedding") -> tuple[list, np.ndarray]:
@@ -56,38 +62,48 @@ def scores(df: DataFrame, means: np.ndarray, keep: list[str], vector: str = "emb
 def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """``(query, neighbour, similarity, rank)``: the exact k nearest of ``base`` by cosine, the query itself left out.
 
-    Queries are taken in blocks of ``block`` (what a block holds is bounded), the base is scanned once per block.
-    Ties go to the smaller key.
+    Queries are written to the shared folder in blocks of ``block``; the base is scanned once, and every task takes its rows
+    in blocks of ``BASE_BLOCK`` through all query blocks, which it reads one at a time. Only the best k of a pair of
+    blocks are shuffled. Ties go to the smaller key.
     """
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    blocks = max(1, -(-q.count() // block))
-    # Blocks by a hash: a block holds about ``block`` queries.
-    q = q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    spark = queries.sparkSession
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    path = shared_path(spark, "queries")
+    q.mapInArrow(_blocked(block), "ids binary, vectors binary").write.parquet(path)
     b = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    parts = []
-    for n in range(blocks):
-        rows = q.where(F.col("b") == n).select("id", "v").collect()
-        if not rows:
-            continue
-        ids, m = np.array([r["id"] for r in rows], np.int64), unit_rows(np.array([r["v"] for r in rows], float))
-        parts.append(b.mapInArrow(_best(ids, m, k), "query bigint, neighbour bigint, similarity double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query bigint, neighbour bigint, similarity double, rank bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = b.mapInArrow(_best(address(spark, path), k), "query bigint, neighbour bigint, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def _best(ids: np.ndarray, m: np.ndarray, k: int):
+def _blocked(block: int):
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column(0).to_numpy()
-            # Rounded so that equal similarities are equal in every engine and batch.
-            s = np.round(m @ unit_rows(_matrix(b.column(1))).T, 9)
+            for lo in range(0, b.num_rows, block):
+                part = b.slice(lo, block)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([unit_rows(_matrix(part.column(1))).tobytes()], pa.binary())], ["ids", "vectors"])
+
+    return run
+
+
+def _query_blocks(uri: str):
+    """The blocks of the folder, one at a time."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    for f in fs.get_file_info(pafs.FileSelector(path)):
+        if f.base_name.endswith(".parquet"):
+            for batch in pq.ParquetFile(fs.open_input_file(f.path)).iter_batches(1):
+                for ids, vectors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = np.frombuffer(ids, np.int64)
+                    yield own, np.frombuffer(vectors, float).reshape(len(own), -1)
+
+
+def _best(uri: str, k: int):
+    def compared(rows: list):
+        own = np.concatenate([r[0] for r in rows])
+        base = np.concatenate([r[1] for r in rows])
+        for ids, m in _query_blocks(uri):
+            # Rounded so that equal similarities are equal in every engine and block.
+            s = np.round(m @ base.T, 9)
             s[ids[:, None] == own[None]] = -np.inf
             take = min(k, len(own))
             order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :take]
@@ -95,4 +111,16 @@ def _best(ids: np.ndarray, m: np.ndarray, k: int):
             ok = np.isfinite(sims).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)[ok]), pa.array(own[order].ravel()[ok]), pa.array(sims.ravel()[ok])], ["query", "neighbour", "similarity"])
 
+    def run(batches):
+        rows, size = [], 0
+        for b in batches:
+            for part in (b.slice(lo, BASE_BLOCK) for lo in range(0, b.num_rows, BASE_BLOCK)):
+                rows.append((part.column(0).to_numpy(), unit_rows(_matrix(part.column(1)))))
+                size += part.num_rows
+                if size >= BASE_BLOCK:
+                    yield from compared(rows)
+                    rows, size = [], 0
+        if rows:
+            yield from compared(rows)
+
     return run

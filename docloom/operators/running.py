@@ -32,6 +32,30 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], by: list[str] =
     return j.select(*df.columns, *((F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums))
 
 
+def percentile(df: DataFrame, value: str, share: float, by: list[str] = (), top: float = 1.0) -> DataFrame:
+    """``(by, n, percentile)``: the exact percentile of ``value`` (in [0, ``top``], nulls left out), linear between neighbours.
+
+    Equal values are counted first, then places are running sums, so no group is held or sorted in one task.
+    """
+    by = list(by)
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, (F.col(value).cast("double") / top).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running(rows, "__v", {"__end": F.col("__n")}, by, descending=False, ties=False, order=["__v"])
+    total = rows.groupBy(*(F.col(c).alias(f"__k_{c}") for c in by)).agg(F.sum("__n").alias("n"))
+    at = (F.col("n") - 1) * F.lit(float(share))
+    total = total.withColumns({"__low": F.floor(at) + 1, "__part": at - F.floor(at)})
+    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by] or [F.lit(True)]
+    condition = on[0]
+    for c in on[1:]:
+        condition = condition & c
+    # Without a group the totals are a single row.
+    j = placed.join(total if by else F.broadcast(total), condition)
+    inside = lambda place: (F.col("__end") >= place) & (F.col("__end") - F.col("__n") < place)
+    low = F.max(F.when(inside(F.col("__low")), F.col("__v")))
+    high = F.max(F.when(inside(F.least(F.col("__low") + 1, F.col("n"))), F.col("__v")))
+    got = j.groupBy(*by).agg(F.max("n").alias("n"), low.alias("__a"), high.alias("__b"), F.max("__part").alias("__p"))
+    return got.select(*by, "n", ((F.col("__a") + F.col("__p") * (F.col("__b") - F.col("__a"))) * top).alias("percentile"))
+
+
 def previous(df: DataFrame, by: str, index: str, order: list[str], columns: list[str], block: int = 1024) -> DataFrame:
     """``df`` with ``previous``: a struct of ``columns`` of the row before, per ``by``, in the order of ``index`` and ``order``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vectors
 from docloom.operators import evaluate, learning
-from docloom.operators.running import running
+from docloom.operators.running import percentile, running
 from docloom.session import materialize, shared_path, table
 
 TEMPERATURE = 0.1
@@ -68,15 +68,17 @@ def _own_distance(spark, sf_dir):
 
 def delta_p95(spark, sf_dir):
     """95th percentile of the distances to the own class mean, per class."""
-    return _own_distance(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("distance", F.lit(0.95)), 5).alias("delta"))
+    own = _own_distance(spark, sf_dir).withColumn("distance", F.greatest("distance", F.lit(0.0)))
+    return percentile(own, "distance", 0.95, ["label"], top=2.0).select("label", "n", F.round("percentile", 5).alias("delta"))
 
 
 def decisions(spark, sf_dir):
     """What is decided automatically, reviewed, or too far from every class."""
     p, _ = _predictions(spark, sf_dir)
     p = p.withColumn("distance", 1 - F.array_max("scores"))
-    # Two single figures.
-    delta = p.agg(F.percentile("distance", F.lit(0.95))).first()[0]
+    # A single figure.
+    found = percentile(p.select(F.greatest("distance", F.lit(0.0)).alias("distance")), "distance", 0.95, top=2.0).first()
+    delta = found["percentile"] if found else 0.0
     d = evaluate.decide(p, "distance", delta, 0.5, "SONSTIGES")
     return d.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.sum(evaluate.correct()).alias("right"))
 
