@@ -10,8 +10,6 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("DOCLOOM_TEST_SF", "/root/testdata/sf0.001")
 CORE = [n for n in entry.queries() if n not in (entry._llm().QUERIES if entry._llm() else {})]
-#: Slow to fit for what a small table can show; the bench and the comparison at larger scale run them.
-SLOW = {"linear_svm", "promotion_gate", "run_register", "learning_curve_readings"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
@@ -40,7 +38,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in CORE if n not in SLOW])
+@pytest.mark.parametrize("name", CORE)
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     got = rows(df.columns, df.collect())
@@ -56,5 +54,16 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_entry_without_what_the_training_data_queries_need(monkeypatch):
+    """Whatever keeps the subpackage from being imported, the core queries stay."""
+
+    def missing(name, *_):
+        raise ImportError("no module named xxhash")
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert set(entry.queries()) == set(CORE)
+
+
 def test_sql_names_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
