@@ -85,6 +85,29 @@ def temperature_grid(scored: DataFrame, classes: list, grid: list[float]) -> Dat
     return rows.groupBy("t").agg(F.avg(nll).alias("nll"))
 
 
+def _pooled(tab: pa.Table) -> pa.Table:
+    """Adjacent violators of one class, pooled: rows ``(class, p, n, hits)`` to the steps of the rising map."""
+    order = np.argsort(tab["p"].to_numpy())
+    steps: list[list[float]] = []
+    for p, n, hits in zip(*(tab[c].to_numpy()[order].tolist() for c in ("p", "n", "hits"))):
+        steps.append([p, n, hits])
+        while len(steps) > 1 and steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]:
+            low = steps.pop(-2)
+            steps[-1] = [low[0], steps[-1][1] + low[1], steps[-1][2] + low[2]]
+    return pa.table({"class": pa.array([tab["class"][0].as_py()] * len(steps), pa.string()), "from_p": [s[0] for s in steps], "n": pa.array([s[1] for s in steps], pa.int64()), "calibrated": [s[2] / s[1] for s in steps]})
+
+
+def isotonic_per_class(p: DataFrame, classes: list) -> DataFrame:
+    """``(class, from_p, n, calibrated)``: for every class the rising step map from its probability to the share of rows that are of it.
+
+    Probabilities are counted in steps of 0.0001 first, so a class is at most 10 001 rows, whatever the size of ``p``.
+    """
+    names = F.array(*(F.lit(str(c)) for c in classes))
+    rows = p.select(F.col("label").cast("string").alias("label"), F.explode(F.arrays_zip(names.alias("class"), F.col("probabilities").alias("p"))).alias("z")).select("label", "z.class", F.round("z.p", 4).alias("p"))
+    counts = rows.groupBy("class", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("class")).alias("hits"))
+    return counts.groupBy("class").applyInArrow(_pooled, "class string, from_p double, n bigint, calibrated double")
+
+
 def curve(p: DataFrame) -> DataFrame:
     """Risk and coverage: for every confidence the rows at or above it and how many are right.
 

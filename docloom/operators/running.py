@@ -34,6 +34,7 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], by: list[str] =
 
 def percentile(df: DataFrame, value: str, share: float, by: list[str] = (), top: float = 1.0) -> DataFrame:
     """``(by, n, percentile)``: the exact percentile of ``value`` (in [0, ``top``], nulls left out), linear between neighbours.
+    Without groups it is one row, of nulls if there is no value.
 
     Equal values are counted first, then places are running sums, so no group is held or sorted in one task.
     """

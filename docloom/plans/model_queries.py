@@ -78,7 +78,7 @@ def decisions(spark, sf_dir):
     p = p.withColumn("distance", 1 - F.array_max("scores"))
     # A single figure.
     found = percentile(p.select(F.greatest("distance", F.lit(0.0)).alias("distance")), "distance", 0.95, top=2.0).first()
-    delta = found["percentile"] if found else 0.0
+    delta = found["percentile"] or 0.0
     d = evaluate.decide(p, "distance", delta, 0.5, "SONSTIGES")
     return d.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.sum(evaluate.correct()).alias("right"))
 
@@ -256,6 +256,12 @@ def isotonic_calibration(spark, sf_dir):
     return spark.createDataFrame(steps, "confidence double, accuracy double")
 
 
+def isotonic_classes(spark, sf_dir):
+    """Per class the steps of the map from its probability to the share that is of it."""
+    p, classes = _predictions(spark, sf_dir)
+    return evaluate.isotonic_per_class(p, classes).select("class", "from_p", "n", F.round("calibrated", 6).alias("calibrated"))
+
+
 def kmeans_diversity(spark, sf_dir):
     """Of each of 25 clusters the vector with the smallest margin."""
     from pyspark.ml.clustering import KMeans
@@ -313,7 +319,7 @@ def learning_curve_readings(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (nearest_centroid, knn_ood, nearest_neighbours, delta_p95, decisions, temperature_grid, best_temperature, confusion_matrix, class_f1, macro_f1, reliability_table, expected_calibration_error, brier_nll, coverage_at_precision, risk_coverage_area, confidence_auroc, mcnemar_test, bootstrap_interval, promotion_gate, run_register, correction_queue, macro_f1_residual, uncertainty_queue, random_admixture, spot_check, stratified_folds, yield_split, class_weights, logistic_regression, linear_svm, isotonic_calibration, kmeans_diversity, svd_variance, learning_curve, learning_curve_readings)
+    for f in (nearest_centroid, knn_ood, nearest_neighbours, delta_p95, decisions, temperature_grid, best_temperature, confusion_matrix, class_f1, macro_f1, reliability_table, expected_calibration_error, brier_nll, coverage_at_precision, risk_coverage_area, confidence_auroc, mcnemar_test, bootstrap_interval, promotion_gate, run_register, correction_queue, macro_f1_residual, uncertainty_queue, random_admixture, spot_check, stratified_folds, yield_split, class_weights, logistic_regression, linear_svm, isotonic_calibration, isotonic_classes, kmeans_diversity, svd_variance, learning_curve, learning_curve_readings)
 }
 
 

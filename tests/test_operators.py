@@ -169,3 +169,38 @@ def test_feature_version(spark):
 def test_gate_and_register_take_coverage_at_98(spark):
     rows = [(0, 0, 0.99 - i / 1000, [0.9, 0.1]) for i in range(19)] + [(1, 0, 0.9, [0.9, 0.1])]
     assert evaluate.metrics(_predictions(spark, rows), [0, 1])["coverage"] == pytest.approx(0.95)
+
+
+def test_isotonic_per_class_is_the_least_squares_rising_map(spark):
+    import random
+
+    from docloom.operators import evaluate
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), [x, 1 - x]) for x in (round(rnd.random(), 2) for _ in range(300))]
+    steps = evaluate.isotonic_per_class(spark.createDataFrame(rows, "label string, probabilities array<double>"), ["a", "b"]).collect()
+    for c, at in (("a", 0), ("b", 1)):
+        own = sorted((r.from_p, r.calibrated) for r in steps if r["class"] == c)
+        assert [v for _, v in own] == sorted(v for _, v in own) and sum(r.n for r in steps if r["class"] == c) == 300
+        values = sorted({round(p[at], 4) for _, p in rows})
+        hits = [[label == c for label, p in rows if round(p[at], 4) == v] for v in values]
+        mean = lambda j, k: sum(map(sum, hits[j : k + 1])) / sum(map(len, hits[j : k + 1]))
+        for i in range(0, len(values), 7):
+            want = max(min(mean(j, k) for k in range(i, len(values))) for j in range(i + 1))
+            got = [v for p, v in own if p <= values[i]][-1]
+            assert abs(got - want) < 1e-9
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    from docloom.operators.running import percentile
+
+    rows = [("a", i % 17 / 10) for i in range(101)] + [("b", 0.3), ("b", None), ("c", 0.1), ("c", 1.9)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.n, r.percentile) for r in percentile(df, "x", 0.95, ["g"], top=2.0).collect()}
+    for g in "abc":
+        own = [x for k, x in rows if k == g and x is not None]
+        assert got[g][0] == len(own) and abs(got[g][1] - np.percentile(own, 95)) < 1e-9
+    assert abs(percentile(df, "x", 0.5, top=2.0).first().percentile - np.percentile([x for _, x in rows if x is not None], 50)) < 1e-9
+    assert percentile(df.limit(0), "x", 0.5, top=2.0).first().percentile is None and percentile(df.limit(0), "x", 0.5, ["g"]).count() == 0
