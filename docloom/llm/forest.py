@@ -197,9 +197,17 @@ def search(runs: list[tuple[str, int]], parts: int, length: int):
     hot)``, a new and b later or stored: ``hits`` trees in which the labels agree in ``length`` values, ``deep`` of them in all.
     A large range of new texts is compared with its earliest text (``hot``); what is stored was
     accepted, so it has no near texts, and ranges of it are met whole, in steps of bounded size.
+    Where a task before has left texts of a range out, the stored texts of the range are ``hot`` as well: they meet
+    one new text that is here, long ones every one, for what was left out has met none of them.
     """
     mask = _mask(length)
 
+    def left_out(keys, marked, i, old):
+        """Which pairs of places ``i`` and stored numbers stand for a range of which texts were left out."""
+        mine = np.isin(keys & ~mask, marked)
+        first = np.concatenate([[True], (keys[1:] & ~mask) != (keys[:-1] & ~mask)])
+        return mine[i] & (first[i] | is_long(old))
+
     def inner(keys, nos, marked):
         stars = _stars(keys, nos, length, marked=marked)
         live = np.ones(len(keys), bool)
@@ -216,7 +224,7 @@ def search(runs: list[tuple[str, int]], parts: int, length: int):
             j = i + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             yield from _pairs(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), np.ones(len(i), np.int64), (k[i] == k[j]).astype(np.int64), False)
 
-    def outer(part, keys, nos):
+    def outer(part, keys, nos, marked):
         first = np.unique(keys & ~mask).astype(np.int64)
         for uri, stored in runs:
             # Shares of the key space nest: both numbers are powers of two.
@@ -229,12 +237,12 @@ def search(runs: list[tuple[str, int]], parts: int, length: int):
                     meets = np.flatnonzero((at < len(first)) & (first[np.minimum(at, len(first) - 1)] <= hi))
                     held += [table["block"][int(x)].as_py() for x in meets]
                     if len(held) >= 256:
-                        yield from matched(keys, nos, held)
+                        yield from matched(keys, nos, marked, held)
                         held = []
                 if held:
-                    yield from matched(keys, nos, held)
+                    yield from matched(keys, nos, marked, held)
 
-    def matched(keys, nos, held):
+    def matched(keys, nos, marked, held):
         k, n = _gathered(held)
         lo, hi = np.searchsorted(k, keys & ~mask, "left"), np.searchsorted(k, keys | mask, "right")
         ends = np.cumsum(hi - lo)
@@ -244,7 +252,12 @@ def search(runs: list[tuple[str, int]], parts: int, length: int):
             many = (hi - lo)[at:to]
             i = np.repeat(np.arange(at, to), many)
             j = np.repeat(lo[at:to], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield from _pairs(nos[i], n[j], np.ones(len(i), np.int64), (keys[i] == k[j]).astype(np.int64), False)
+            deep = (keys[i] == k[j]).astype(np.int64)
+            if len(marked):
+                hot = left_out(keys, marked, i, n[j])
+                yield from _pairs(nos[i[hot]], n[j[hot]], AGREE, deep[hot], True)
+                i, j, deep = i[~hot], j[~hot], deep[~hot]
+            yield from _pairs(nos[i], n[j], np.ones(len(i), np.int64), deep, False)
             at = to
 
     def run(batches):
@@ -262,7 +275,7 @@ def search(runs: list[tuple[str, int]], parts: int, length: int):
         for part, blobs in by.items():
             keys, nos = _gathered(blobs)
             yield from inner(keys, nos, marked)
-            yield from outer(part, keys, nos)
+            yield from outer(part, keys, nos, marked)
 
     return run
 

@@ -23,8 +23,8 @@ resolved within blocks. Copies of one text are one node.
 
 Skew: a range of more than ``forest.STAR`` new texts is compared with its earliest text only, in the task that
 meets them first. Those of its texts that are still accepted after the decisions go through an exact
-prefix join on rare shingles (see ``prefix``), until nothing changes; so no link between accepted texts is
-lost, and a large range costs as many comparisons as it has texts. Decisions are taken in rounds over
+prefix join on rare shingles (see ``prefix``) with each other and with the stored texts of the range, until nothing
+changes; so no link between accepted texts is lost, and a large range costs as many comparisons as it has texts. Decisions are taken in rounds over
 keys (a key of any size is a partial minimum); what is left after ``ROUNDS`` of them, long chains of versions,
 is decided component by component, in tasks of at most ``CHAIN`` rows.
 
@@ -265,6 +265,19 @@ def _sets(runs: list[dict], k: int):
     return run
 
 
+def _texts(runs: list[dict]):
+    """The texts ``(id, text, flags)`` with these numbers, as the training side; those of long documents are not among them."""
+
+    def run(batches):
+        nos = np.unique(np.concatenate([np.empty(0, np.int64), *(b.column(0).to_numpy() for b in batches)]))
+        for r, bucket, own in _homes(runs, nos):
+            for table in store.rows_of(f"{r['uri']}/texts/bucket={bucket}", "no", own, ["no", "text"]):
+                table = table.filter(table["text"].is_valid()).rename_columns(["id", "text"])
+                yield from table.append_column("flags", pa.array(np.full(table.num_rows, prefix.TRAIN, np.int32))).to_batches(1024)
+
+    return run
+
+
 def _known(runs: list[dict], among: int):
     """The keys ``(no, kind, hi, lo, bucket)`` that a run holds, as ``(no, kind)``."""
 
@@ -463,17 +476,23 @@ class History:
         cases = self._decide(docs, nodes, edges, blocked)
         if met.where("hot").limit(1).count():
             hot = materialize(met.where("hot").select(F.explode(F.array("a", "b")).alias("no")).distinct(), "hot")
-            compared = met.where(~old).select("a", "b")
+            held = self._held(hot, run["first"]) if self._runs else None
+            compared = met.select("a", "b")
             while True:
                 alive = self._copies_of(docs.join(cases, "no", "left_anti").select("no"), nodes)
                 texts = signed.where("text is not null").join(hot, "no", "left_semi").join(alive, "no", "left_semi").select(F.col("no").alias("id"), "text", F.lit(3).alias("flags"))
-                texts = materialize(texts, "alive")
-                rest = prefix.candidates(texts, texts.select("text"), self.threshold, self.k).where("a < b")
+                texts = materialize(texts if held is None else texts.unionByName(held), "alive")
+                rest = prefix.candidates(texts, texts.select("text"), self.threshold, self.k).where((F.col("a") < F.col("b")) | old)
+                if any(r["long"] for r in self._runs):
+                    rest = rest.unionByName(self._left_out(met, old, alive)).distinct()
                 rest = materialize(rest.join(compared, ["a", "b"], "left_anti"), "rest")
                 if not rest.limit(1).count():
                     break
                 compared = compared.unionByName(rest)
-                edges = materialize(edges.unionByName(self._verified(rest, runs)).distinct(), "edges")
+                found = self._verified(rest, runs)
+                edges = materialize(edges.unionByName(found.where(~old)).distinct(), "edges")
+                if self._runs:
+                    blocked = materialize(blocked.unionByName(self._copies_of(found.where(old).select(F.col("a").alias("no")), nodes)).distinct(), "blocked")
                 cases = self._decide(docs, nodes, edges, blocked)
         decided = self._keep(docs, cases, signed, path, run)
         self._commit([*self._runs, run], run["next"])
@@ -548,6 +567,19 @@ class History:
         met = raw.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.sum("deep").alias("deep"), F.bool_or("hot").alias("hot"))
         return materialize(met.where(F.col("hits") >= forest.AGREE).select("a", "b", "deep", "hot"), "met")
 
+    def _held(self, hot: DataFrame, first: int) -> DataFrame:
+        """Stored texts of ranges that new texts were left out of, as ``(id, text, flags)`` of the training side."""
+        buckets = max(r["buckets"] for r in self._runs)
+        stored = hot.where((F.shiftright("no", 16) < first) & (F.col("no").bitwiseAND(F.lit(forest.LONG)) == 0)).withColumn("bucket", F.col("no").bitwiseAND(F.lit(buckets - 1)).cast("int"))
+        return stored.repartitionById(buckets, F.col("bucket")).mapInArrow(_texts(self.runs), "id long, text string, flags int")
+
+    def _left_out(self, met: DataFrame, old: Column, alive: DataFrame) -> DataFrame:
+        """``(a, b)``: new texts that were left out of a range, and the long stored documents their earliest text has met in one;
+        these have no text of one row that could go through the prefix join."""
+        long = met.where(F.col("hot") & old & (F.col("b").bitwiseAND(F.lit(forest.LONG)) > 0)).select("a", F.col("b").alias("stored"))
+        left = met.where(F.col("hot") & ~old).select("a", F.col("b").alias("no")).join(alive, "no", "left_semi")
+        return left.join(long, "a").select(F.col("no").alias("a"), F.col("stored").alias("b"))
+
     def _copies_of(self, nos: DataFrame, nodes: DataFrame) -> DataFrame:
         """All numbers of texts equal to those of ``nos``, with these."""
         own = nodes.join(nos, "no", "left_semi").select("hi", "lo").distinct()

@@ -342,6 +342,33 @@ def test_history_equals_one_after_the_other(spark, monkeypatch, star):
     assert got == want
 
 
+@pytest.mark.parametrize("blocks_of_stored", [1, 3])
+def test_history_meets_what_is_stored_in_large_ranges(spark, blocks_of_stored):
+    """A form that fills large ranges of a batch: its texts are below the threshold of each other and of the earliest, but some
+    are just above it of a stored text (of one row, or of several blocks) that has the form too."""
+    rnd = random.Random(11)
+    some = lambda n: [f"w{rnd.randrange(10**8)}" for _ in range(n)]
+    form, own, t0 = some(400), [some(200) for _ in range(240)], datetime(2026, 1, 1)
+    texts = {f"d{i:03}": [*form, *w] for i, w in enumerate(own)}
+    stored = {f"s{i}": [*form, *own[40 * i + 7][:4], *some(196)] for i in range(6)}
+    docs = [(n, t0, None) for n in stored] + [(n, t0 + timedelta(days=1), None) for n in texts]
+    cut = lambda w: [w[i::1][: len(w) // blocks_of_stored] for i in range(0, len(w), len(w) // blocks_of_stored)]
+    segments = [(n, f"{n}-{i}", i * history.BLOCK, " ".join(w)) for n, all_ in stored.items() for i, w in enumerate(cut(all_))] + [(n, f"{n}-0", 0, " ".join(w)) for n, w in texts.items()]
+    want = sequential(docs, segments)
+    assert want == {f"d{40 * i + 7:03}" for i in range(6)}
+    d, s = load(spark, docs, segments)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one task has the whole batch, so ranges are large in it
+    try:
+        store, got = history.History(spark, shared_path(spark, "history")), set()
+        for day in (0, 1):
+            part = d.where(F.col("ingested_at") == F.lit(t0 + timedelta(days=day)))
+            got |= {r.document_id for r in store.add(part, s).where("is_case").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+
+
 def test_history_odd_input(spark):
     d, s = load(spark, [("a", None, None), ("b", datetime(2026, 1, 1), "x" * 64), (None, datetime(2026, 1, 1), "y")], [("c", "c-0", 0, "text")])
     s = s.unionByName(spark.createDataFrame([("a", None, None, None), (None, "z", 0, "t"), ("b", "b-0", None, "kurz")], s.schema))
