@@ -26,7 +26,8 @@ meets them first. Those of its texts that are still accepted after the decisions
 prefix join on rare shingles (see ``prefix``) with each other and with the stored texts of the range, until nothing
 changes; so no link between accepted texts is lost, and a large range costs as many comparisons as it has texts. Decisions are taken in rounds over
 keys (a key of any size is a partial minimum); what is left after ``ROUNDS`` of them, long chains of versions,
-is decided component by component, in tasks of at most ``CHAIN`` rows.
+is decided component by component, in tasks of at most ``CHAIN`` rows. A batch with at most ``FEW`` rows to
+decide is decided in one task, and one with at most ``FEW`` candidates verifies all of them in one step.
 
 Null or empty tables give empty results. Documents without text, or with fewer than twelve words,
 are duplicates by digest only; a null or malformed digest matches nothing. A null ``ingested_at``
@@ -55,6 +56,7 @@ BLOCK = 64
 RUNS = 4
 ROUNDS = 6
 CHAIN = 1 << 20
+FEW = 1 << 17
 _PIECE = "no long, block long, words int, head array<string>, tail array<string>, data binary"
 _SIGNED = "bucket int, no long, hi long, lo long, signature binary, text string"
 
@@ -398,6 +400,12 @@ def _one_after_the_other(tab: pa.Table) -> pa.Table:
     return pa.table({"no": pa.array([n for n, _ in out], pa.int64()), "state": pa.array([s for _, s in out], pa.int32())})
 
 
+def _all_of_them(batches):
+    """``_one_after_the_other`` for all rows of a task."""
+    if batches := [b for b in batches if b.num_rows]:
+        yield from _one_after_the_other(pa.Table.from_batches(batches)).to_batches()
+
+
 class History:
     """A growing set of accepted documents in the folder ``path``; an existing store is opened as it is.
 
@@ -459,13 +467,14 @@ class History:
         met = self._met(signed, run, many is not None)
         settled = keyed.where("copy").select("no")
         old = F.shiftright("b", 16) < run["first"]
-        if self._runs:
+        stepwise = bool(self._runs) and met.count() > FEW
+        if stepwise:
             # From the whole label to the widest prefix: what is settled by then is not looked at again.
             deep = met.where(old & (F.col("deep") >= forest.AGREE)).select("a", "b").join(settled.withColumnRenamed("no", "a"), "a", "left_anti")
             found = self._verified(deep, runs)
             settled = settled.unionByName(found.select(F.col("a").alias("no")))
         wide = met.join(settled.select(F.col("no").alias("a")), "a", "left_anti").join(settled.select(F.col("no").alias("other")), F.col("b") == F.col("other"), "left_anti")
-        if self._runs:
+        if stepwise:
             wide = wide.where(~old | (F.col("deep") < forest.AGREE))
         found = self._verified(wide.select("a", "b"), runs)
         blocked = keyed.where("same or copy").select("no")
@@ -633,6 +642,10 @@ class History:
         shared = rows.groupBy("hi", "lo").agg(F.min("no").alias("x"), F.max("no").alias("y")).where("x < y").select("hi", "lo")
         rows = materialize(rows.join(shared, ["hi", "lo"], "left_semi").distinct().withColumn("state", F.lit(0)), "watches")
         found = docs.join(blocked, "no", "left_semi").select("no")
+        if rows.count() <= FEW:
+            # The same decisions in one task instead of dozens of small jobs.
+            done = rows.select("no", "hi", "lo", "offer").coalesce(1).mapInArrow(_all_of_them, "no long, state int")
+            return materialize(found.unionByName(done.where("state = 2").select("no")), "cases")
         for turn in range(1_000_000):
             if turn == ROUNDS:
                 rows = self._chains(rows)

@@ -438,6 +438,24 @@ def test_history_decides_long_chains(spark, monkeypatch):
     assert got == sequential(docs, segments) and len(got) == 20
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_history_decides_small_batches_in_one_step(spark, monkeypatch, few):
+    """No rounds for a small batch; in rounds, and chains by component, the result is the same."""
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(40 * 12 + 60)]
+    docs = [(f"d{i:02}", datetime(2026, 1, 1), None) for i in range(40)]
+    segments = [(f"d{i:02}", f"d{i:02}-0", 0, " ".join(words[12 * i : 12 * i + 60])) for i in range(40)]
+    monkeypatch.setattr(history, "ROUNDS", 1)
+    if few is not None:
+        monkeypatch.setattr(history, "FEW", few)
+    made, write = [], history.materialize
+    monkeypatch.setattr(history, "materialize", lambda df, label: (made.append(label), write(df, label))[1])
+    d, s = load(spark, docs, segments)
+    got = {r.document_id for r in history.History(spark, shared_path(spark, "history")).add(d, s).where("is_case").collect()}
+    assert got == sequential(docs, segments) and len(got) == 20
+    assert ("states" in made) == (few == 0)
+
+
 # Problem 5
 
 
