@@ -35,10 +35,10 @@ def split_ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U(32)) * U(parts)) >> U(32)
 
 
-def pack(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, parts: int, extra: list[tuple[np.ndarray, int]] = (), key_bytes: int = KEY_BYTES):
+def pack(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, parts: int, extra: list[tuple[np.ndarray, int]] = (), key_bytes: int = KEY_BYTES, marks: list[np.ndarray] = ()):
     """Yields (part, binary) for 64-bit ``keys`` of the rows ``rows`` (numbers into ``ids``).
 
-    ``extra`` holds further columns with their width in bytes.
+    ``extra`` holds further columns with their width in bytes, ``marks`` 64-bit columns of the rows themselves.
     """
     order = np.argsort(keys)
     k, r = keys[order], rows[order]
@@ -51,13 +51,13 @@ def pack(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, parts: int, extra:
             continue
         used, local = np.unique(r[lo:hi], return_inverse=True)
         wide = 2 if len(used) <= 65536 else 4
-        body = b"".join([_planes(kept[lo:hi], key_bytes), _planes(local.astype(np.uint64), wide), _planes(ids[used].astype(np.uint64), 8), *(_planes(x[lo:hi].astype(np.uint64), w) for x, w in more)])
+        body = b"".join([_planes(kept[lo:hi], key_bytes), _planes(local.astype(np.uint64), wide), _planes(ids[used].astype(np.uint64), 8), *(_planes(m[used], 8) for m in marks), *(_planes(x[lo:hi].astype(np.uint64), w) for x, w in more)])
         head = struct.pack("<QQQB", hi - lo, len(used), len(body), wide)
         yield p, head + _ZSTD.compress(body, asbytes=True)
 
 
-def unpack(blob: bytes, extra: tuple[int, ...] = (), key_bytes: int = KEY_BYTES) -> list[np.ndarray]:
-    """Keys, identifiers and further columns of a block; keys ascending."""
+def unpack(blob: bytes, extra: tuple[int, ...] = (), key_bytes: int = KEY_BYTES, marks: int = 0) -> list[np.ndarray]:
+    """Keys, identifiers, marks and further columns of a block; keys ascending."""
     n, m, size, wide = struct.unpack_from("<QQQB", blob)
     body = _ZSTD.decompress(memoryview(blob)[25:], decompressed_size=size, asbytes=True)
     at = 0
@@ -69,13 +69,14 @@ def unpack(blob: bytes, extra: tuple[int, ...] = (), key_bytes: int = KEY_BYTES)
         return x
 
     keys, local, ids = take(n, key_bytes), take(n, wide), take(m, 8)
-    return [keys, ids[local], *(take(n, w) for w in extra)]
+    own = [take(m, 8)[local] for _ in range(marks)]
+    return [keys, ids[local], *own, *(take(n, w) for w in extra)]
 
 
-def gather(blobs: list[bytes], extra: tuple[int, ...] = (), key_bytes: int = KEY_BYTES) -> list[np.ndarray]:
+def gather(blobs: list[bytes], extra: tuple[int, ...] = (), key_bytes: int = KEY_BYTES, marks: int = 0) -> list[np.ndarray]:
     """The columns of several blocks, one after the other."""
-    cols = [unpack(b, extra, key_bytes) for b in blobs]
-    return [np.concatenate(x) for x in zip(*cols)] if cols else [np.empty(0, np.uint64)] * (2 + len(extra))
+    cols = [unpack(b, extra, key_bytes, marks) for b in blobs]
+    return [np.concatenate(x) for x in zip(*cols)] if cols else [np.empty(0, np.uint64)] * (2 + marks + len(extra))
 
 
 def parts_for(entries: float, least: int, per_part: float = 4e6) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import near, prefix
+from docloom.llm import bloom, near, prefix
 from docloom.llm.prefix import EVAL, TRAIN
 from docloom.session import materialize
 
@@ -18,7 +18,7 @@ from docloom.session import materialize
 def near_across(df: DataFrame, text: str, flags: str, threshold: float = 0.5, k: int = 3, texts: DataFrame | None = None) -> DataFrame:
     """``(a, b)``: near texts by their key, ``a`` on the evaluation side and ``b`` on the training side.
 
-    ``flags`` is 1 for the evaluation side, 2 for the training side, 3 for both. A text on both
+    ``flags`` is 1 for the evaluation side, 2 for the training side, 3 for both, 0 for none. A text on both
     sides is a pair with itself. Null or short texts are near to nothing. ``texts`` is a table with
     at least the same texts that is cheaper to read than ``df`` (which may be the result of a join);
     frequencies are counted over it and the sets of candidates are fetched from it.
@@ -54,10 +54,18 @@ def _sides(documents: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def overlapping_texts(segments: DataFrame, documents: DataFrame, manifest: DataFrame, threshold: float = 0.5, k: int = 3, sides: DataFrame | None = None) -> DataFrame:
-    """``(a, b)``: near texts by their key, ``a`` of the evaluation and ``b`` of the training side; a text on both sides with itself too."""
+    """``(a, b)``: near texts by their key, ``a`` of the evaluation and ``b`` of the training side; a text on both sides with itself too.
+
+    The side of a segment is read from filters of bounded size, so no text is shuffled for it. None is missed; what
+    a false hit adds has no member on that side and goes in the join with those.
+    """
     sides = _sides(documents, manifest) if sides is None else sides
-    rows = segments.select("segment_id", "document_id", "text").where("segment_id is not null and text is not null").join(sides, "document_id")
-    return near_across(rows.select("text", "flags"), "text", "flags", threshold, k, segments.select("text"))
+    flags = F.lit(0)
+    for side in (EVAL, TRAIN):
+        own = sides.where(F.col("flags").bitwiseAND(F.lit(side)) > 0).select(F.xxhash64("document_id").alias("id"))
+        flags = flags + F.when(bloom.build(own, "id", own.count()).column(F.xxhash64("document_id")), side).otherwise(0)
+    rows = segments.where("segment_id is not null and text is not null").select("text", flags.alias("flags"))
+    return near_across(rows, "text", "flags", threshold, k, segments.select("text"))
 
 
 def overlapping_segments(segments: DataFrame, documents: DataFrame, manifest: DataFrame, threshold: float = 0.5, k: int = 3) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators for training data against brute force on small fixtures, and on awkward input."""
 
 import bisect
+import itertools
 import random
 import re
 import unicodedata
@@ -476,6 +477,37 @@ def test_overlap_equals_brute_force(spark, monkeypatch):
     assert overlap.overlapping_segments(seg.limit(0), docs, man).count() == 0
 
 
+FEW_WORDS = [f"wort{i}" for i in range(24)]
+
+
+@pytest.mark.parametrize("hot", [prefix.HOT, 0])
+def test_texts_of_few_words_are_not_paired_by_chance(spark, monkeypatch, hot):
+    monkeypatch.setattr(prefix, "HOT", hot)
+    rnd = random.Random(21)
+    texts = {f"r{i:03}": " ".join(rnd.choices(FEW_WORDS, k=rnd.choice([20, 45, 60, 62]))) for i in range(400)}
+    for i in range(0, 40, 2):
+        words = texts[f"r{i:03}"].split()
+        words[i % len(words)] = "anders"
+        texts[f"near{i}"] = " ".join(words[: len(words) * (20 - i // 4) // 20])
+    want = {tuple(sorted((texts[a], texts[b]))) for a, b in near_pairs(texts)}
+    rows = spark.createDataFrame([(t, i, 3) for i, t in enumerate(texts.values())], "text string, id long, flags int").repartition(3)
+    names = list(texts.values())
+    got = {tuple(sorted((names[a], names[b]))) for a, b in prefix.candidates(rows.select("id", "text", "flags"), rows.select("text"), 0.5, 3).collect() if a != b}
+    assert len(want) > 10 and want <= got
+    assert len(got) < 4 * len(want)
+
+
+def test_bitmaps_never_allow_less_than_is_common():
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices(FEW_WORDS, k=rnd.choice([12, 40, 300]))) for _ in range(60)]
+    texts += [t + " und noch etwas mehr" for t in texts]
+    s = shingling.shingled(texts)
+    marks, n = prefix.bitmaps(s), s.sizes
+    sets = [set(s.values[lo:hi]) for lo, hi in zip(s.offsets, s.offsets[1:])]
+    for i, j in itertools.product(range(len(texts)), repeat=2):
+        assert len(sets[i] & sets[j]) <= (n[i] + n[j] - int(np.bitwise_count(marks[:, i] ^ marks[:, j]).sum())) / 2
+
+
 # Problem 6
 
 
