@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normal_key
-from docloom.llm import history, mixing, near, overlap, packing, quality, sampling, splits, tokens
+from docloom.llm import history, mixing, near, overlap, packing, quality, sampling, splits, store, tokens
 from docloom.llm.oracle import ORACLE  # noqa: F401
 from docloom.session import materialize, shared_path, table
 
@@ -40,23 +40,26 @@ def p4_decided(spark: SparkSession, sf_dir: str, loads: int = 8) -> DataFrame:
     """Every ingested document with whether it was accepted already.
 
     The batches (distinct ``ingested_at``) are taken in order, in ``loads`` steps of as many batches; each
-    step meets what the ones before have stored. After the fifth the runs are merged.
+    step meets what the ones before have stored. After the fifth the runs are merged. The segments are told
+    apart by load once, so a load reads its own and not the whole table.
     """
     segments, documents = table(spark, sf_dir, "segments"), table(spark, sf_dir, "ingested_documents")
     # One row per batch: bounded by the number of batches, not by their size.
     batches = [r[0] for r in documents.where("ingested_at is not null").select("ingested_at").distinct().orderBy("ingested_at").collect()]
     cuts = sorted({batches[len(batches) * i // loads] for i in range(1, loads)}) if batches else []
     at = F.coalesce("ingested_at", F.expr("timestamp '9999-12-31 00:00:00'"))
-    store = history.History(spark, shared_path(spark, "history"))
+    kept = history.History(spark, shared_path(spark, "history"))
+    load = sum((F.when(at >= F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
+    by_load = shared_path(spark, "loads")
+    owned = documents.where("document_id is not null").select("document_id", load.cast("int").alias("load")).distinct()
+    mine = segments.where("text is not null").select("document_id", "index", "segment_id", "text").join(owned, "document_id")
+    mine.write.option("compression", "zstd").partitionBy("load").parquet(by_load)
     out = None
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = documents
-        if lo is not None:
-            part = part.where(at >= F.lit(lo))
-        if hi is not None:
-            part = part.where(at < F.lit(hi))
-        decided = store.add(part, segments)
+    for n in range(len(cuts) + 1):
+        part = spark.read.schema(mine.schema).parquet(by_load).where(F.col("load") == n)
+        decided = kept.add(documents.where(load == n), part.drop("load"))
         out = decided if out is None else out.unionByName(decided)
+        store.delete(spark, f"{by_load}/load={n}")
     return out
 
 

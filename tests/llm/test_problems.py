@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normal_key
-from docloom.llm import blocks, bloom, components, forest, frequency, history, hyperminhash, mixing, near, overlap, packing, prefix, quality, sampling, shingling, splits, store, tokens
+from docloom.llm import blocks, bloom, components, forest, frequency, history, hyperminhash, mixing, near, overlap, packing, prefix, quality, queries, sampling, shingling, splits, store, tokens
 from docloom.session import materialize, shared_path
 
 HYPHEN, BLANK, WORD = re.compile(r"(\w)-\s*\n\s*(\w)"), re.compile(r"\s+"), re.compile(r"[^\W_]+")
@@ -457,6 +457,23 @@ def test_history_decides_small_batches_in_one_step(spark, monkeypatch, few):
     assert ("states" in made) == (few == 0)
 
 
+def test_loads_get_their_own_segments_only(spark, monkeypatch):
+    add, given = history.History.add, []
+
+    def seen(self, documents, segments):
+        given.append(({r[0] for r in documents.select("document_id").collect()}, [r[0] for r in segments.select("document_id").collect()]))
+        return add(self, documents, segments)
+
+    monkeypatch.setattr(history.History, "add", seen)
+    d = "/root/testdata/sf0.001"
+    got = {r["document_id"] for r in queries.p4_decided(spark, d).collect()}
+    whole = spark.read.parquet(f"{d}/ingested_documents.parquet").where("document_id is not null").select("document_id").distinct()
+    assert got == {r[0] for r in whole.collect()} and len(given) == 8
+    wanted = Counter(r[0] for r in spark.read.parquet(f"{d}/segments.parquet").where("document_id is not null and text is not null").select("document_id").collect())
+    for documents, segments in given:
+        assert Counter(segments) == Counter({k: n for k, n in wanted.items() if k in documents})
+
+
 # Problem 5
 
 
