@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import boilerplate, detect, features
+from docloom.functions import boilerplate, detect, features, ngrams
 from docloom.functions.text import collapse_whitespace, derive_id, file_name, normalize_native, normalize_text
 from docloom.operators.ingest import MIN_CHARS_PER_PAGE
 from docloom.plans.unicode_sql import nfkc
@@ -143,9 +143,7 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def char_ngram_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten strongest character n-grams of each document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(features.char_ngrams(F.col("text"))).alias("gram"))
-    w = features.tf_idf(d, "doc_id", "gram").withColumn("weight", F.round("weight", 6))
-    return features.top_per_group(w, "doc_id", [F.desc("weight"), F.col("gram")], 10).select("doc_id", F.col("rank").cast("bigint").alias("rank"), "gram", "weight")
+    return ngrams.strongest(table(spark, sf_dir, "documents"), "doc_id", "text", 10)
 
 
 def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
